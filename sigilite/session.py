@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def get_spark(app: str = "sigilite", cores: int | None = None) -> SparkSession:
     """A local session with the settings the engine expects (AQE on, UTC, Arrow)."""
@@ -26,6 +30,20 @@ def get_spark(app: str = "sigilite", cores: int | None = None) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands the package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="sigilite-")) / "sigilite.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,6 +76,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Gives every core a share of a small input that came in fewer splits than there are cores.
 
     An input of at least as many splits as cores (any large table) is returned unshuffled."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
