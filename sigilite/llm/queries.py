@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigilite.llm import leakage, splitting
+from sigilite.llm import leakage, mixing, splitting
 from sigilite.session import table
 
 
@@ -13,6 +13,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitting.split_oversized(table(spark, d, "documents"))
     return pieces.where("piece = 0").select("doc_id").distinct()
@@ -22,6 +30,6 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 ORACLES: dict[str, str] = {}
