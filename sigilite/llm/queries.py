@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigilite.llm import leakage, mixing, splitting
+from sigilite.llm import foreign, leakage, mixing, splitting
 from sigilite.session import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return foreign.foreign_units(table(spark, d, "blobs")).select("unit_seq").distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -30,6 +34,6 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,101 @@
+"""Findings that repeat something accepted before them.
+
+History is held as an index that only grows by ``min``: per fingerprint, and per (file key, shown value),
+the first position at which it was seen. Indexes of single batches are merged by ``merge_index``, so a new
+batch is checked against the index and never against the rows of earlier batches.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Position of what was accepted before the first batch.
+BEFORE = -1
+
+#: What a copy of a file adds to its name.
+_COPY = r"[-_. ]+(?:c[oó]pia|copy|old|antig[oa]|nov[oa]|new|bak|backup|orig|tmp|v\d+|\(\d+\))(?=[-_. ]|$)"
+
+
+def position(batch: Column, row: Column) -> Column:
+    """Order by batch, then by row, as one number; row numbers must stay below 2^44."""
+    return F.shiftleft(batch.cast("long"), 44) + row
+
+
+def _file_keys(rule: Column, path: Column) -> Column:
+    """What must agree for two paths to be one file: the path itself under any rule; under one rule also its
+    name in any letter case and folder without what copies add, and its folder and name without extension."""
+    low = F.lower(F.regexp_replace(path, r"^(?:\./)+|/(?=/)", ""))
+    name = F.substring_index(low, "/", -1)
+    plain = F.regexp_replace(name, _COPY, "")
+    folder = low.substr(F.lit(1), F.length(low) - F.length(name))
+    stem = F.regexp_replace(plain, r"(?<=.)\.[^.]*$", "")
+    return F.array(F.concat(F.lit("p|"), path), F.concat_ws("|", F.lit("n"), rule, plain), F.concat_ws("|", F.lit("s"), rule, folder, stem))
+
+
+def _sizes(shown: Column) -> Column:
+    """0 for the value as shown, and the number of characters an end of each shorter view, down to two."""
+    ends = F.least(F.length(F.substring_index(shown, "…", 1)), F.length(F.substring_index(shown, "…", -1)))
+    return F.when(shown.contains("…") & (ends > 2), F.concat(F.array(F.lit(0)), F.sequence(F.lit(2), ends - 1))).otherwise(F.array(F.lit(0)))
+
+
+def _view(shown: Column, n: Column) -> Column:
+    right = F.substring_index(shown, "…", -1)
+    cut = F.concat(F.substring_index(shown, "…", 1).substr(F.lit(1), n), F.lit("…"), right.substr(F.length(right) - n + 1, n))
+    return F.when(n == 0, shown).otherwise(cut)
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """(fp, rule, path, shown, pos): each distinct row once, with its first position."""
+    return (
+        rows.select(
+            F.lower("fingerprint").alias("fp"),
+            F.coalesce("rule", F.lit("")).alias("rule"),
+            F.translate(F.coalesce("path", F.lit("")), "\\", "/").alias("path"),
+            F.coalesce("redacted", F.lit("")).alias("shown"),
+            "pos",
+        )
+        .groupBy("fp", "rule", "path", "shown")
+        .agg(F.min("pos").alias("pos"))
+    )
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(pos, a, b, whole): 128 bits a, b of each file key with each view of the value."""
+    keyed = rows.select("pos", "shown", F.explode(_file_keys(F.col("rule"), F.col("path"))).alias("key"))
+    keyed = keyed.select("pos", "shown", "key", F.explode(_sizes(F.col("shown"))).alias("n"))
+    keyed = keyed.select("pos", "key", _view(F.col("shown"), F.col("n")).alias("value"), (F.col("n") == 0).alias("whole"))
+    return keyed.select("pos", F.xxhash64("key", "value").alias("a"), F.xxhash64(F.lit(7), "value", "key").alias("b"), "whole")
+
+
+def build_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index of rows (fingerprint, rule, path, redacted, pos): (fp, first) and (a, b, first_whole, first)."""
+    once = _distinct(rows)
+    exact = once.where("fp IS NOT NULL").groupBy("fp").agg(F.min("pos").alias("first"))
+    near = _keyed(once).groupBy("a", "b").agg(F.min(F.when(F.col("whole"), F.col("pos"))).alias("first_whole"), F.min("pos").alias("first"))
+    return exact, near
+
+
+def merge_index(one: tuple[DataFrame, DataFrame], two: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    exact = one[0].unionByName(two[0]).groupBy("fp").agg(F.min("first").alias("first"))
+    near = one[1].unionByName(two[1]).groupBy("a", "b").agg(F.min("first_whole").alias("first_whole"), F.min("first").alias("first"))
+    return exact, near
+
+
+def repeats(rows: DataFrame, index: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """pos of the rows that repeat something at an earlier position of ``index``, which must hold ``rows`` too.
+
+    A row repeats exactly by its fingerprint, and nearly by the same value in the same file. Two values are
+    the same if the longer, cut to what the shorter shows, equals it. Only the first row of a fingerprint is
+    looked up by value, so rows reported again and again don't pile up on one key."""
+    exact, near = index
+    first = _distinct(rows).join(exact.withColumnRenamed("first", "fp_first"), "fp", "left").where("fp IS NULL OR pos = fp_first")
+    nearly = (
+        _keyed(first)
+        .join(near, ["a", "b"])
+        .where(F.when(F.col("whole"), F.col("first") < F.col("pos")).otherwise(F.col("first_whole") < F.col("pos")))
+        .select("pos")
+        .distinct()
+    )
+    fresh = first.select("pos").distinct().join(nearly, "pos", "left_anti")
+    return rows.select("pos").join(fresh, "pos", "left_anti")

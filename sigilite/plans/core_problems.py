@@ -1,4 +1,4 @@
-"""Registered queries of the general problems (2, 3) and their SQL."""
+"""Registered queries of the general problems (1, 2, 3) and their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigilite.operators.hotkeys import heavy_keys, key_totals
+from sigilite.operators.repeats import BEFORE, build_index, position, repeats
 from sigilite.operators.snapshots import snapshot_changes
 from sigilite.session import table
 
@@ -14,6 +15,13 @@ def slashed(col: Column) -> Column:
     return F.translate(col, "\\", "/")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    findings = table(spark, d, "findings").withColumn("pos", position(F.col("batch_no"), F.col("finding_id")))
+    new = findings.select("fingerprint", F.col("rule_id").alias("rule"), "path", "redacted", "pos")
+    accepted = table(spark, d, "baseline").select("fingerprint", "rule", "path", "redacted", F.lit(BEFORE).cast("long").alias("pos"))
+    return repeats(new, build_index(new.unionByName(accepted))).select((F.col("pos").bitwiseAND((1 << 44) - 1)).alias("finding_id")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     tracked = {"path": slashed(F.col("path")), "severity": F.lower(F.trim("severity"))}
     return snapshot_changes(table(spark, d, "finding_snapshots"), "snapshot_no", "fingerprint", "loaded_at", tracked)
@@ -28,7 +36,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys(p3_totals(spark, d), 0.03).select("key_field", "key_value")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals}
 
 ORACLES = {
     "p2_found": r"""

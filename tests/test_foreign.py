@@ -1,0 +1,26 @@
+from sigilite.llm.foreign import foreign_units, plain_evidence
+
+OWN = "import os\n\n\ndef total(rows, limit=3):\n    # adds what is open\n    return sum(r.value for r in rows if r.open)\n"
+MADE = "// Code generated by maker. DO NOT EDIT.\nfunc (x *Row) GetA() int32 { return x.a }\n"
+
+
+def test_evidence():
+    assert plain_evidence("app/x.go", MADE) == "generated"
+    assert plain_evidence("vendor/lib/x.py", OWN) == "vendored"
+    assert plain_evidence("web/x.min.js", "function a(b){return b&&b.c>4?a(b):b};" * 20) == "minified"
+    assert plain_evidence("src/x.py", "T = [\n" + "    12, 345, 6789, 10, 11,\n" * 40 + "]\n") == "data"
+    assert plain_evidence("src/x.py", OWN) is None
+    # own code that writes such files
+    assert plain_evidence("tools/gen.py", OWN + '\nHEADER = "# Code generated by maker. DO NOT EDIT."\n') is None
+
+
+def test_units(spark):
+    rows = [(i, f"src/own_{i}.py", OWN.replace("total", f"total_{i}")) for i in range(6)] + [(10, "app/x.go", MADE), (11, "app/y.go", MADE.replace("maker", "other")), (12, "docs/generated.md", MADE), (13, None, None)]
+    df = spark.createDataFrame(rows, "unit_seq bigint, path string, text string")
+    assert sorted(r.unit_seq for r in foreign_units(df).collect()) == [10, 11]
+
+
+def test_registered():
+    import __spark_entry__
+
+    assert {"p1_found", "p4_found"} <= __spark_entry__.queries().keys()

@@ -1,0 +1,40 @@
+from sigilite.operators.repeats import BEFORE, build_index, merge_index, position, repeats
+from pyspark.sql import functions as F
+
+ROWS = [  # fingerprint, rule, path, redacted, batch, id, whether it is a case
+    ("F0", "r", "a/b.py", "ab…yz", 0, 0, None),  # accepted before
+    ("f0", "r", "a/b.py", "abcd…wxyz", 1, 1, True),  # same fingerprint in another case
+    ("f1", "r", "a/c.py", "kkkk…llll", 1, 2, False),
+    ("f1", "r", "a/c.py", "kkkk…llll", 2, 3, True),  # again
+    ("f2", "r", "A\\C.py", "kkkk…llll", 2, 4, True),  # spelt otherwise
+    ("f3", "r", "z/c.py", "kkkk…llll", 2, 5, True),  # moved
+    ("f4", "r", "a/c_old.py", "kkkk…llll", 2, 6, True),  # renamed
+    ("f5", "s", "a/c.py", "kkkk…llll", 2, 7, True),  # another rule, same path
+    ("f6", "r", "q/other.py", "kkkk…llll", 2, 8, False),  # unrelated file
+    ("f7", "t", "q/c.py", "kkkk…llll", 2, 9, False),  # another rule and folder
+    ("f8", "r", "a/c.py", "kk…ll", 3, 10, True),  # ends in another length
+    ("f9", "r", "a/c.py", "k…", 3, 11, False),  # first character only
+    ("fa", "r", "./a/c.py", "k…", 3, 12, True),  # ... agrees with the like
+    ("fb", "r", "a/b.py", "abXX…XXyz", 3, 13, True),  # agrees with what the baseline shows
+]
+
+
+def _rows(spark, rows):
+    df = spark.createDataFrame([r[:6] for r in rows], "fingerprint string, rule string, path string, redacted string, b int, i bigint")
+    return df.withColumn("pos", F.when(F.col("b") == 0, F.lit(BEFORE).cast("long")).otherwise(position(F.col("b"), F.col("i")))).drop("b", "i")
+
+
+def _ids(df):
+    return sorted(r.pos & ((1 << 44) - 1) for r in df.collect())
+
+
+def test_cases(spark):
+    rows = _rows(spark, ROWS)
+    new = rows.where(f"pos > {BEFORE}")
+    assert _ids(repeats(new, build_index(rows))) == [r[5] for r in ROWS if r[6]]
+
+
+def test_index_of_batches_equals_index_of_all(spark):
+    old, new = _rows(spark, [r for r in ROWS if r[4] < 3]), _rows(spark, [r for r in ROWS if r[4] == 3])
+    index = merge_index(build_index(old), build_index(new))
+    assert _ids(repeats(new, index)) == [r[5] for r in ROWS if r[4] == 3 and r[6]]
