@@ -63,8 +63,9 @@ _SENSITIVE = (
     r"encryption[_-]?key|auth[_-]?key|master[_-]?key|account[_-]?key|shared[_-]?key|deploy[_-]?key|chave|credencial|credential|auth"
 )
 # The name may go on with a qualifier of the credential itself, never with a property of it.
+# One character or digit a round: runs of them inside a repeated group make failing matches exponential.
 _ASSIGN = re.compile(
-    rf"(?<![A-Za-z0-9])(?P<name>(?:[A-Za-z0-9]+[_.-]?)*?(?:{_SENSITIVE})(?:[_-]?(?:admin|api|acesso|access|privada|pem|id|prod|db|root|user|app|key|b64|base64|value|valor|\d+))*)"
+    rf"(?<![A-Za-z0-9])(?P<name>(?:[A-Za-z0-9][_.-]?)*?(?:{_SENSITIVE})(?:[_-]?(?:admin|api|acesso|access|privada|pem|id|prod|db|root|user|app|key|b64|base64|value|valor|\d))*)"
     r"[\"'\]]{0,2}(?:\s*:\s*(?:str|string|String))?\s*(?::=|=>|[:=])\s*(?:\(\s*)?(?P<value>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`|[^\s\"'`,;)}\]<>]+)",
     re.I,
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigilite.llm import foreign, leakage, mixing, splitting
+from sigilite.llm import credentials, foreign, leakage, mixing, mojibake, personal, splitting
 from sigilite.session import table
 
 
@@ -13,6 +13,30 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return foreign.foreign_units(table(spark, d, "blobs")).select("unit_seq").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_repaired(spark, d).where("garbled_lines > 0").select("unit_seq").distinct()
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repair_texts(table(spark, d, "blobs"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_personal(table(spark, d, "blobs")).distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact_personal(table(spark, d, "blobs"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, d, "blobs")).select("unit_seq", "line").distinct()
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redact_credentials(table(spark, d, "blobs"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -34,6 +58,9 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {
+    "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_redacted": p7_redacted,
+    "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces,
+}
 
 ORACLES: dict[str, str] = {}
