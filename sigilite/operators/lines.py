@@ -22,25 +22,26 @@ def explode_lines(units: DataFrame, text: str = "text", line: str = "line", raw:
     line: nothing is shuffled, and the work stays linear in the text. Null texts have no lines, an empty
     one has one empty line."""
     others = [c for c in units.columns if c != text]
+    # the lines come out of the generator as they are used: a projection on top would be copied into every test of a line
+    cut = lambda t: F.split(F.regexp_replace(t, r"\r(?=\n|\z)", ""), "\n", -1)
     if in_pem is None:
-        lines = units.select(*others, F.posexplode(F.split(text, "\n", -1)).alias("__i", "__l"))
-        return lines.select(*others, (F.col("__i") + 1).alias(line), F.regexp_replace("__l", r"\r\z", "").alias(raw))
+        lines = units.select(*others, F.posexplode(cut(F.col(text))).alias("__i", raw))
+        return lines.select(*others, (F.col("__i") + 1).alias(line), raw)
     parts = F.when(F.col(text).contains("-----BEGIN "), F.split(text, rf"(?U)(?<=\n)(?={_MARK})", -1)).otherwise(F.array(text))
     # lines before each part; the list is as long as there are marks
     first = F.aggregate(
         "__parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))))
     )
+    # a part that isn't the last ends in \n, which belongs to its last line
     rows = (
         units.where(F.col(text).isNotNull())
         .withColumn("__parts", parts)
         .withColumn("__first", F.when(F.size("__parts") == 1, F.array(F.lit(0))).otherwise(first))
         .select(*others, F.size("__parts").alias("__n"), F.posexplode(F.arrays_zip("__parts", F.slice("__first", 1, F.size("__parts")).alias("__first"))).alias("__p", "__z"))
-        # a part that isn't the last ends in \n, which belongs to its last line
-        .select(*others, F.col("__z.__first").alias("__at"), F.col("__z.__parts").rlike(_OPENS).alias("__in"),
-                F.when(F.col("__p") + 1 < F.col("__n"), F.regexp_replace("__z.__parts", r"\n\z", "")).otherwise(F.col("__z.__parts")).alias("__t"))
-        .select(*others, "__at", "__in", F.posexplode(F.split("__t", "\n", -1)).alias("__i", "__l"))
-    )
-    return rows.select(*others, (F.col("__at") + F.col("__i") + 1).alias(line), F.regexp_replace("__l", r"\r\z", "").alias(raw), F.col("__in").alias(in_pem))
+        .withColumn("__t", F.when(F.col("__p") + 1 < F.col("__n"), F.regexp_replace("__z.__parts", r"\n\z", "")).otherwise(F.col("__z.__parts")))
+        .select(*others, F.col("__z.__first").alias("__at"), F.col("__z.__parts").rlike(_OPENS).alias(in_pem), F.posexplode(cut(F.col("__t"))).alias("__i", raw))
+    )
+    return rows.select(*others, (F.col("__at") + F.col("__i") + 1).alias(line), raw, in_pem)
 
 
 def base_name(path: Column) -> Column:
