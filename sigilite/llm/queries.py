@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigilite.llm import credentials, foreign, leakage, mixing, mojibake, personal, splitting
+from sigilite.llm import credentials, foreign, history, leakage, mixing, mojibake, personal, splitting
 from sigilite.session import table
 
 
+def p1_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated rows of findings with the share of their text found in what was accepted before."""
+    columns = ["fingerprint", "rule", "path", "redacted", "batch", "pos"]
+    new = table(spark, d, "findings").select("*", F.col("rule_id").alias("rule"), F.col("batch_no").alias("batch"), history.position(F.col("batch_no"), F.col("finding_id")).alias("pos"))
+    old = table(spark, d, "baseline").select("*", F.lit(history.BEFORE).alias("batch"), F.lit(history.BEFORE).cast("long").alias("pos"))
+    found = history.repeats(new.select(columns).unionByName(old.select(columns)))
+    return found.select(F.col("pos").bitwiseAND((1 << 44) - 1).alias("finding_id"), F.round("coverage", 3).alias("coverage")).distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_repeats(spark, d).select("finding_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return foreign.foreign_units(table(spark, d, "blobs")).select("unit_seq").distinct()
 
@@ -59,8 +72,29 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_repeats": p1_repeats,
     "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_redacted": p7_redacted,
     "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+_MARK = r"[-_. ]+(?:c[oó]pia|copy|old|antig[oa]|nov[oa]|new|bak|backup|orig|tmp|v\d+|\(\d+\))([-_. ]|$)"
+
+ORACLES: dict[str, str] = {
+    # two values agree if one, cut to what the other shows, equals it: a view that is whole on either side
+    "p1_found": rf"""
+WITH r AS (
+  SELECT lower(fingerprint) AS fp, rule_id AS rule, replace(path, '\', '/') AS path, redacted AS shown, batch_no * 17592186044416 + finding_id AS pos, finding_id FROM findings
+  UNION ALL SELECT lower(fingerprint), rule, replace(path, '\', '/'), redacted, -1, NULL FROM baseline
+), low AS (SELECT *, lower(regexp_replace(path, '^(\./)+', '')) AS p FROM r),
+named AS (SELECT *, regexp_replace(regexp_replace(string_split(p, '/')[-1], '{_MARK}', '\1', 'g'), '{_MARK}', '\1', 'g') AS name, regexp_replace(p, '[^/]*$', '') AS folder FROM low),
+keyed AS (SELECT *, unnest(['p' || path, 'n' || rule || '|' || name, 's' || rule || '|' || folder || '|' || regexp_replace(name, '(.)\.[^.]*$', '\1')]) AS k FROM named),
+ends AS (SELECT *, CASE WHEN contains(shown, '…') THEN least(length(split_part(shown, '…', 1)), length(split_part(shown, '…', 2))) ELSE 0 END AS n FROM keyed),
+views AS (SELECT *, unnest(CASE WHEN n < 2 THEN [n] ELSE range(2, n + 1) END) AS m FROM ends),
+v AS (SELECT finding_id, pos, k, m = n AS whole, CASE WHEN n < 2 THEN shown ELSE concat(shown[1:m], '…', right(shown, m)) END AS v FROM views),
+w AS (SELECT *, min(pos) OVER (PARTITION BY k, v) AS first, min(CASE WHEN whole THEN pos END) OVER (PARTITION BY k, v) AS first_whole FROM v),
+e AS (SELECT finding_id, pos, min(pos) OVER (PARTITION BY fp) AS first FROM r)
+SELECT DISTINCT finding_id FROM (
+  SELECT finding_id FROM w WHERE CASE WHEN whole THEN first ELSE first_whole END < pos UNION ALL SELECT finding_id FROM e WHERE first < pos
+) WHERE finding_id IS NOT NULL
+""",
+}
