@@ -26,6 +26,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return foreign.foreign_units(table(spark, d, "blobs")).select("unit_seq").distinct()
 
 
+def p4_own(spark: SparkSession, d: str) -> DataFrame:
+    """The units that remain: the project's own source, and whatever isn't code."""
+    return table(spark, d, "blobs").join(p4_found(spark, d), "unit_seq", "left_anti").select("unit_seq", "path")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_repaired(spark, d).where("garbled_lines > 0").select("unit_seq").distinct()
 
@@ -73,7 +78,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_repeats": p1_repeats,
-    "p4_found": p4_found, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_redacted": p7_redacted,
+    "p4_found": p4_found, "p4_own": p4_own, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_redacted": p7_redacted,
     "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
 
