@@ -199,14 +199,22 @@ def search_lines(lines: DataFrame) -> DataFrame:
 
 def _first(rows: DataFrame) -> DataFrame:
     """Each distinct record once, at its first position: copies of one record never meet in a partition."""
-    return rows.groupBy("fingerprint", "rule", "path", "redacted").agg(F.min(F.struct("pos", "batch")).alias("f")).select("fingerprint", "rule", "path", "redacted", "f.batch", "f.pos")
+    once = rows.groupBy("fingerprint", "rule", "path", "redacted").agg(F.min("pos").alias("pos"))
+    return once.withColumn("batch", F.when(F.col("pos") < 0, BEFORE).otherwise(F.shiftright("pos", 44)).cast("int"))
+
+
+def _judged(rows: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
+    """(pos, coverage) of the rows that repeat: first rows as found, copies of them whole. ``found`` is used once."""
+    status = first.join(found, "pos", "left").select("pos", F.coalesce("coverage", F.lit(-1.0)).alias("coverage"))
+    comparable = rows.where((F.col("pos") >= 0) & (F.col("fingerprint").isNotNull() | (F.coalesce("redacted", F.lit("")) != ""))).select("pos")
+    return comparable.join(status, "pos", "left").select("pos", F.coalesce("coverage", F.lit(1.0)).alias("coverage")).where("coverage >= 0")
 
 
 def repeats(rows: DataFrame) -> DataFrame:
     """(pos, coverage) of the rows that repeat something accepted before them.
 
-    ``rows``: fingerprint, rule, path, redacted, batch, pos. Positions are unique but for rows of batch
-    BEFORE, which come before all others and aren't tested. A row repeats exactly if an earlier row has its
+    ``rows``: fingerprint, rule, path, redacted and pos, as ``position`` gives it. Positions are unique but
+    for those of BEFORE, whose rows come before all others and aren't tested. A row repeats exactly if an earlier row has its
     fingerprint in any letter case, and nearly if one shows the same value in the same file: under its path
     (backslashes read as slashes); or, under the same rule, with the same name in any folder, letter case
     and with or without what copies add; or in the same folder with another extension. Null or empty
@@ -214,11 +222,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     record repeat its first row whole (coverage 1). Empty tables give no rows."""
     first = _first(rows)
     found = search_lines(record_lines(first))
-    once = first.where(F.col("batch") != BEFORE).select("pos")
-    fresh = once.join(found, "pos", "left_anti")
-    comparable = rows.where((F.col("batch") != BEFORE) & (F.col("fingerprint").isNotNull() | (F.coalesce("redacted", F.lit("")) != ""))).select("pos")
-    out = comparable.join(fresh, "pos", "left_anti").join(found, "pos", "left")
-    return out.select("pos", F.coalesce("coverage", F.lit(1.0)).alias("coverage"))
+    return _judged(rows, first.where(F.col("pos") >= 0), found)
 
 
 class History:
@@ -252,9 +256,7 @@ class History:
         old = self._lines()
         lines = new if old is None else new.unionByName(old.join(new.select("h").distinct(), "h", "left_semi").withColumns({"batch": F.lit(BEFORE), "pos": F.lit(BEFORE).cast("long")}))
         found = search_lines(lines)
-        fresh = first.select("pos").join(found, "pos", "left_anti")
-        rows = batch.where(F.col("fingerprint").isNotNull() | (F.coalesce("redacted", F.lit("")) != "")).select("pos")
-        return rows.join(fresh, "pos", "left_anti").join(found, "pos", "left").select("pos", F.coalesce("coverage", F.lit(1.0)).alias("coverage"))
+        return _judged(batch, first, found)
 
     def accept(self, batch: DataFrame) -> None:
         self._write(record_lines(_first(batch)), 0)

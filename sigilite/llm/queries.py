@@ -11,9 +11,9 @@ from sigilite.session import table
 
 def p1_repeats(spark: SparkSession, d: str) -> DataFrame:
     """Repeated rows of findings with the share of their text found in what was accepted before."""
-    columns = ["fingerprint", "rule", "path", "redacted", "batch", "pos"]
-    new = table(spark, d, "findings").select("*", F.col("rule_id").alias("rule"), F.col("batch_no").alias("batch"), history.position(F.col("batch_no"), F.col("finding_id")).alias("pos"))
-    old = table(spark, d, "baseline").select("*", F.lit(history.BEFORE).alias("batch"), F.lit(history.BEFORE).cast("long").alias("pos"))
+    columns = ["fingerprint", "rule", "path", "redacted", "pos"]
+    new = table(spark, d, "findings").select("*", F.col("rule_id").alias("rule"), history.position(F.col("batch_no"), F.col("finding_id")).alias("pos"))
+    old = table(spark, d, "baseline").select("*", F.lit(history.BEFORE).cast("long").alias("pos"))
     found = history.repeats(new.select(columns).unionByName(old.select(columns)))
     return found.select(F.col("pos").bitwiseAND((1 << 44) - 1).alias("finding_id"), F.round("coverage", 3).alias("coverage")).distinct()
 
