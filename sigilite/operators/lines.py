@@ -32,15 +32,21 @@ def explode_lines(units: DataFrame, text: str = "text", line: str = "line", raw:
     first = F.aggregate(
         "__parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))))
     )
-    # a part that isn't the last ends in \n, which belongs to its last line
+    # whatever is taken from a part is taken before its lines are: a column that is used behind a generator
+    # goes along with every row it makes
     rows = (
         units.where(F.col(text).isNotNull())
         .withColumn("__parts", parts)
         .withColumn("__first", F.when(F.size("__parts") == 1, F.array(F.lit(0))).otherwise(first))
-        .select(*others, F.size("__parts").alias("__n"), F.posexplode(F.arrays_zip("__parts", F.slice("__first", 1, F.size("__parts")).alias("__first"))).alias("__p", "__z"))
-        .withColumn("__t", F.when(F.col("__p") + 1 < F.col("__n"), F.regexp_replace("__z.__parts", r"\n\z", "")).otherwise(F.col("__z.__parts")))
-        .select(*others, F.col("__z.__first").alias("__at"), F.col("__z.__parts").rlike(_OPENS).alias(in_pem), F.posexplode(cut(F.col("__t"))).alias("__i", raw))
-    )
+        .withColumn("__n", F.size("__parts"))
+        .select(*others, "__n", F.posexplode(F.arrays_zip(F.col("__parts").alias("t"), F.slice("__first", 1, F.col("__n")).alias("at"))).alias("__p", "__z"))
+        # a part that isn't the last ends in \n, which belongs to its last line
+        .select(
+            *others, F.col("__z.at").alias("__at"), F.col("__z.t").rlike(_OPENS).alias(in_pem),
+            F.when(F.col("__p") + 1 < F.col("__n"), F.regexp_replace("__z.t", r"\n\z", "")).otherwise(F.col("__z.t")).alias("__t"),
+        )
+        .select(*others, "__at", in_pem, F.posexplode(cut(F.col("__t"))).alias("__i", raw))
+    )
     return rows.select(*others, (F.col("__at") + F.col("__i") + 1).alias(line), raw, in_pem)
 
 

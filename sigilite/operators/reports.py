@@ -16,7 +16,7 @@ NEVER = 99
 
 
 def severity_name(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), rank + 1)
+    return F.when(rank.isNotNull(), F.element_at(F.array(*map(F.lit, SEVERITIES)), rank + 1))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

@@ -116,13 +116,14 @@ def scan_lines(units: DataFrame, config: Config = Config()) -> DataFrame:
     ).where("text IS NOT NULL")
     rows = L.explode_lines(units, in_pem="in_pem")
     raw, dotenv = F.col("raw"), F.col("dotenv")
-    rows = rows.where((F.length(raw) <= config.max_line_length) & ~L.is_allowed(raw, config))
+    rows = rows.where(F.length(raw) <= config.max_line_length)
     # a rule with files of its own but other than the environment files tests the name
     ok = {r.id: dotenv if r.only_files == config_dotenv(rules) else L.name_matches(F.col("path"), r.only_files, r.not_files) for r in rules if r.only_files}
     if not rules:
         return rows.where(F.lit(False)).select("unit_seq", "path", "commit", "line", "raw", F.array().cast(_HITS).alias("hits"), F.lit(0).alias("placeholders"))
     gates = [_gate(raw, r, ok.get(r.id, F.lit(True))) for r in rules]
-    rows = rows.where(reduce(lambda a, b: a | b, gates)).withColumn("__quiet", F.col("in_pem") | L.is_payload(raw))
+    # lines that are to be left alone are looked for among the few that pass
+    rows = rows.where(reduce(lambda a, b: a | b, gates)).where(~L.is_allowed(raw, config)).withColumn("__quiet", F.col("in_pem") | L.is_payload(raw))
     seen = [F.when(g & ~F.col("__quiet") if r.category == "entropy" else g, F.struct(F.lit(i).alias("ord"), F.lit(r.pattern).alias("pattern"))) for i, (r, g) in enumerate(zip(rules, gates))]
     rows = rows.withColumn("__seen", F.array_compact(F.array(*seen))).where(F.size("__seen") > 0)
     found = F.flatten(F.transform("__seen", lambda r: _places(raw, r["pattern"], r["ord"])))

@@ -14,6 +14,7 @@ from sigilite.operators import lines as L
 from sigilite.operators.scan import drop_overlaps, is_pinned, is_slash_in_quoted, long_lines, scan, scan_lines
 from sigilite.plans import scan_sql as S
 from sigilite.plans.units import units
+from sigilite.sources.decode import SIGNATURES, decode_text, text_encoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +187,25 @@ register(
     lambda spark, d: _slots(spark, d).where(is_slash_in_quoted(F.col("raw"), F.col("start"))).select("unit_seq", "line"),
     rf"WITH {_SLOTS} SELECT unit_seq, line FROM slots WHERE start >= 2 AND raw[start] = '/' AND regexp_matches(raw[1:start - 1], '[\x22''][A-Za-z0-9+=_-]+$')",
 )
+
+
+# --- bytes -------------------------------------------------------------------------------------------
+
+#: What is put before a unit's text, by its number modulo their count: marks, signatures, nothing.
+_PREFIXES = ("EFBBBF", "FFD8FF", "", "7F454C46", "25504446", "1F8B", "4F676753", "00", "504B0304", "89504E470D0A1A0A", "424D", "52494646")
+
+
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    pick = F.element_at(F.array(*[F.unhex(F.lit(p)) for p in _PREFIXES]), (F.col("unit_seq") % len(_PREFIXES) + 1).cast("int"))
+    return units(spark, d).where("text IS NOT NULL").select("unit_seq", F.concat(pick, F.encode("text", "UTF-8")).alias("content"))
+
+
+_PICK = "CASE unit_seq % 12 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PREFIXES)) + " END"
+_CONTENTS = f"{S.UNITS}, raw AS (SELECT unit_seq, text, unhex({_PICK}) || encode(text) AS content FROM units WHERE text IS NOT NULL), hexed AS (SELECT unit_seq, text, hex(content) AS h FROM raw)"
+_SIGNED = " OR ".join(f"starts_with(h, '{s.hex().upper()}')" for s in SIGNATURES)
+_ENCODING = f"CASE WHEN starts_with(h, 'EFBBBF') THEN 'utf-8-sig' WHEN {_SIGNED} OR regexp_matches(h[1:16384], '^(..)*?00') THEN 'binary' ELSE 'utf-8' END"
+register("binary_magic", lambda s, d: _contents(s, d).select("unit_seq", text_encoding(F.col("content")).alias("encoding")), f"WITH {_CONTENTS} SELECT unit_seq, {_ENCODING} AS encoding FROM hexed")
+register(
+    "bom_decode", lambda s, d: _contents(s, d).select("unit_seq", F.md5(decode_text(F.col("content"))).alias("digest")),
+    f"""WITH {_CONTENTS} SELECT unit_seq, CASE {_ENCODING} WHEN 'utf-8-sig' THEN md5(text) WHEN 'utf-8' THEN md5(concat(CASE WHEN unit_seq % 12 = 2 THEN '' END, text)) END AS digest FROM hexed""",
+)
