@@ -2,8 +2,8 @@
 
 Lines with an anchor (a sensitive word, a scheme, a vendor prefix, a long encoded run) are scanned by
 the detectors below. Encoded runs are decoded layer by layer (base64, hex, percent, backslash
-escapes) and each layer is scanned again by the same detectors; binary layers are parsed as key
-containers (DER, OpenSSH). What is found in a layer is redacted by replacing the enclosing encoded
+escapes) and each layer is scanned again by the same detectors, until a layer holds nothing encoded (every
+layer is shorter than the one around it); binary layers are parsed as key containers (DER, OpenSSH). What is found in a layer is redacted by replacing the enclosing encoded
 literal, so the code around it stays whole.
 """
 
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from sigilite.llm.scanning import build, cued_lines, replace_spans
 from sigilite.session import spread
 
-MAX_LAYERS = 4
-
 _CUES = {
     **{c: "word" for c in ("pass", "pwd", "senha", "secret", "segredo", "token", "chave", "key", "cred", "auth", "bearer", "login", "sig=", "signature=", "assinatura=", "jwt", "pin=", "-u ", "--user", "dsn")},
     **{c: "url" for c in ("://",)},
@@ -57,7 +55,7 @@ _HEADER = re.compile(r"(?:Authorization|Proxy-Authorization)[\"']?\s*[:=]\s*[\"'
 _FLAG = re.compile(r"(?<![\w-])--?(?:password|passwd|pass|senha|token|secret|api-?key|chave|segredo)[= ]+[\"']?([^\s\"']+)", re.I)
 _CURL = re.compile(r"(?<![\w-])(?:-u|--user)[= ]+[\"']?[\w.@-]+:([^\s\"':]+)")
 
-# Words that make a name sensitive.
+#: Words that make a name sensitive.
 _SENSITIVE = (
     r"pass(?:word|wd|phrase)?|pwd|senha|secret|segredo|token|jeton|api[_-]?key|apikey|access[_-]?key(?:[_-]?id)?|secret[_-]?key|signing[_-]?key|private[_-]?key|"
     r"encryption[_-]?key|auth[_-]?key|master[_-]?key|account[_-]?key|shared[_-]?key|deploy[_-]?key|chave|credencial|credential|auth"
@@ -86,7 +84,7 @@ _PROPERTY = re.compile(
 )
 _PUBLIC = re.compile(r"public|pub_?key|publica|publishable|foreign|primary|partition|cache_?key|sort_?key|keyboard|keyword|monkey|author", re.I)
 
-# What stands where a credential would.
+#: What stands where a credential would.
 _PLACEHOLDER = re.compile(
     r"^(?:(?:x|X|\*|\.|-|_|0|•|#|\?)+|changeme|change[_-]?me|change[_-]?it|placeholder|example|exemplo|sample|dummy|redacted|removed|removid[oa]|secret|password|passwd|senha|token|key|chave|"
     r"segredo|none|null|nil|undefined|true|false|test|teste|todo|tbd|n/a|empty|vazi[oa]|default|root|admin|user|string|str|str\(\)|bool|int|required|optional|value|valor|yes|no|sim|nao|não|"
@@ -97,6 +95,7 @@ _REFERENCE = re.compile(
     r"^(?:\$|%\(|%[A-Z_]+%|\{\{|\{[A-Za-z_]|#\{|@\{|<%|\$\(|!|&|\*[a-z])|^(?:os\.|process\.|System\.|getenv|env\b|ENV\b|config\.|cfg\.|settings\.|self\.|this\.|secrets?\.|vault[:.]|arn:|ssm:|sm://|op://|ref\+|file://|data\.|var\.|local\.|"
     r"args\.|params\.|request\.|req\.|ctx\.|options\.|opts\.|input\.|props\.|state\.|get\(|load|read|fetch|cofre|vem\b|from\b)|\(\)|\w\(|\[|vault\.|environ|process\.env|getenv|\$\{|\{\{",
 )
+_PHRASE = re.compile(r"phrase|frase", re.I)
 _UUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.I)
 _DIGEST_NAME = re.compile(r"hash|md5|sha-?\d+|checksum|digest|etag|integrity|fingerprint|revision|commit|idempot|nonce|uuid|trace|request_id|lote_id", re.I)
 
@@ -104,7 +103,11 @@ _DIGEST_NAME = re.compile(r"hash|md5|sha-?\d+|checksum|digest|etag|integrity|fin
 def usable(value: str, name: str = "") -> bool:
     """Whether a value given to a credential's name looks like one that works."""
     v = value.strip().strip("\"'`").strip()
-    if len(v) < 8 or len(set(v)) < 4 or any(c.isspace() for c in v):
+    if any(c.isspace() for c in v):
+        # a pass phrase is words, but only where the name says so
+        parts = v.split()
+        return len(parts) >= 4 and bool(_PHRASE.search(name)) and len(set(map(str.lower, parts))) == len(parts) and not _PLACEHOLDER.match(v)
+    if len(v) < 6 or len(set(v)) < 4:
         return False
     if _PLACEHOLDER.match(v) or _REFERENCE.search(v) or _UUID.match(v):
         return False
@@ -122,7 +125,7 @@ def usable(value: str, name: str = "") -> bool:
         return False
     if re.fullmatch(r"[a-z]+(?:[_-][a-z]+)*[_-]?\d{1,4}", v) or re.fullmatch(r"[\w.-]+\.(?:py|js|ts|go|java|json|ya?ml|sql|sh|md|txt|env|pem|csv|log|internal|example|test|local)(?::\d+)?", v):
         return False
-    return lower + upper + digit + symbol >= 2
+    return lower + upper + digit + symbol >= (2 if len(v) >= 8 else 3)
 
 
 def _sensitive_name(name: str) -> bool:
@@ -133,8 +136,12 @@ def _sensitive_name(name: str) -> bool:
 
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/]{12,}={0,2}|[A-Za-z0-9_-]{16,}={0,2})(?![A-Za-z0-9+/=_-])")
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?:0x)?((?:[0-9a-fA-F]{2}){8,})(?![A-Za-z0-9])")
-_PERCENT = re.compile(r"[A-Za-z0-9._~:/?&=+@;!*-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~:/?&=+@;!*-]*){2,}")
-_ESCAPED = re.compile(r"[^\s\"'`\\]*(?:\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})[^\s\"'`\\]*){4,}")
+# From the first escape on; what stands before it is found by walking left, since a pattern that begins
+# with a run would try every place of a long one.
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~:/?&=+@;!*-]*){2,}")
+_BEFORE_PERCENT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._~:/?&=+@;!*-")
+_ESCAPED = re.compile(r"(?:\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})[^\s\"'`\\]*){4,}")
+_NOT_BEFORE_ESCAPED = frozenset(" \t\r\n\"'`\\")
 _ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|([0-7]{3}))")
 
 
@@ -189,11 +196,21 @@ def _layers(line: str) -> Iterator[tuple[int, int, bytes]]:
         yield m.start(), m.end(), data
     for m in _HEX.finditer(line):
         yield m.start(1), m.end(1), bytes.fromhex(m.group(1))
+    at = 0
     for m in _PERCENT.finditer(line):
-        yield m.start(), m.end(), unquote_to_bytes(m.group())
+        lo = m.start()
+        while lo > at and line[lo - 1] in _BEFORE_PERCENT:
+            lo -= 1
+        at = m.end()
+        yield lo, at, unquote_to_bytes(line[lo:at])
+    at = 0
     for m in _ESCAPED.finditer(line):
-        text = _ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16) if e[1] or e[2] else int(e[3], 8)), m.group())
-        yield m.start(), m.end(), text.encode("utf-8", "replace")
+        lo = m.start()
+        while lo > at and line[lo - 1] not in _NOT_BEFORE_ESCAPED:
+            lo -= 1
+        at = m.end()
+        text = _ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16) if e[1] or e[2] else int(e[3], 8)), line[lo:at])
+        yield lo, at, text.encode("utf-8", "replace")
 
 
 def _readable(data: bytes) -> str | None:
@@ -217,7 +234,7 @@ def find_in_line(line: str, depth: int = 0) -> list[tuple[int, int, str]]:
         out.append((m.start(), end if end > 0 else len(line) if "\\n" in line[m.end() :] else m.end(), "private-key"))
     for m in _URL.finditer(line):
         pw = m.group(2)
-        if not (_PLACEHOLDER.match(pw) or _REFERENCE.search(pw)) and len(pw) >= 4 and not pw.isdigit():
+        if not (_PLACEHOLDER.match(pw) or _REFERENCE.search(pw)) and len(pw) >= 4 and not (pw.isdigit() and (len(pw) < 6 or pw in "01234567890123456789")):
             out.append((m.start(2), m.end(2), "url"))
     for kind, pattern in (("connection", _CONNECTION), ("query", _QUERY), ("header", _HEADER), ("flag", _FLAG), ("flag", _CURL), ("markup", _XML), ("table", _TABLE), ("prose", _PROSE)):
         for m in pattern.finditer(line):
@@ -242,53 +259,106 @@ def find_in_line(line: str, depth: int = 0) -> list[tuple[int, int, str]]:
         for m in _CSV.finditer(line):
             if line.count(";") + line.count("\t") + line.count(",") >= 3 and _sensitive_name(m.group()[: m.start(1) - m.start()].strip("\";,\t")) and usable_or_decoded(m.group(1), depth):
                 out.append((m.start(1), m.end(1), "table"))
-    if depth < MAX_LAYERS:
-        for lo, hi, data in _layers(line):
-            if der_private_key(data):
-                out.append((lo, hi, "key-container"))
-                continue
-            text = _readable(data)
-            if text is not None and text != line and any(find_in_line(part, depth + 1) for part in text.split("\n")):
-                out.append((lo, hi, "encoded"))
+    for lo, hi, data in _layers(line):
+        if der_private_key(data):
+            out.append((lo, hi, "key-container"))
+        elif (text := _readable(data)) is not None and len(text) < hi - lo and _holds(text):
+            out.append((lo, hi, "encoded"))
     return out
 
 
+@functools.lru_cache(maxsize=4096)
+def _holds(text: str) -> bool:
+    """Whether a decoded layer holds a credential, in it or in a layer below."""
+    return any(find_in_line(part, 1) for part in text.split("\n"))
+
+
 def usable_or_decoded(value: str, depth: int, name: str = "") -> bool:
     """Whether a value works as a credential; an encoded one must do so after decoding."""
     if not usable(value, name):
         return False
-    if depth < MAX_LAYERS:
-        v = value.strip("\"'`")
-        for lo, hi, data in _layers(v):
-            if lo == 0 and hi == len(v) and (text := _readable(data)) is not None and text.isascii() and len(text) >= 6:
-                # an encoded text: the words inside decide
-                return usable(text) or bool(find_in_line(text, depth + 1)) or not (_PLACEHOLDER.match(text.strip()) or _REFERENCE.search(text) or re.fullmatch(r"[A-Za-z][A-Za-z _.,:-]*", text))
+    v = value.strip("\"'`")
+    for lo, hi, data in _layers(v):
+        if lo == 0 and hi == len(v) and (text := _readable(data)) is not None and text.isascii() and 6 <= len(text) < len(v):
+            # an encoded text: the words inside decide
+            return usable(text) or _holds(text) or not (_PLACEHOLDER.match(text.strip()) or _REFERENCE.search(text) or re.fullmatch(r"[A-Za-z][A-Za-z _.,:-]*", text))
     return True
 
 
-def find(text: str | None) -> list[tuple[int, int, int, str]]:
-    """(line, start, end, kind) of every credential; offsets are those of the text."""
+#: Kinds that are told by their own form, wherever they stand.
+_FORMS = frozenset(("vendor", "private-key", "key-container", "url"))
+_TEMPLATE_FILE = re.compile(r"\.(?:example|sample|template|dist|tpl|exemplo|modelo)$", re.I)
+_LOCK_FILE = re.compile(r"(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|uv\.lock|cargo\.lock|composer\.lock|gemfile\.lock|go\.sum|pipfile\.lock)$", re.I)
+
+
+def find(text: str | None, path: str | None = None) -> list[tuple[int, int, int, str]]:
+    """(line, start, end, kind) of every credential; offsets are those of the text.
+
+    In a template of a configuration file and in a lock file only what is told by its own form counts:
+    values given to names there are examples and digests."""
     if not text:
         return []
-    out = []
+    p = (path or "").replace("\\", "/")
+    forms_only = bool(_TEMPLATE_FILE.search(p) or _LOCK_FILE.search(p))
+    out = [(n, lo, hi, "key-container") for n, lo, hi in _wrapped(text)]
+    taken = [(lo, hi) for _, lo, hi, _ in out]
     for number, lo, hi in _candidates(text):
-        out += [(number, lo + a, lo + b, kind) for a, b, kind in find_in_line(text[lo:hi])]
-    return out
+        if any(a <= lo < b for a, b in taken):
+            continue
+        out += [(number, lo + a, lo + b, kind) for a, b, kind in find_in_line(text[lo:hi]) if not forms_only or kind in _FORMS]
+    return sorted(out, key=lambda x: x[1])
+
+
+_RUN = re.compile(
+    r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/=_-])|(?:%[0-9A-Fa-f]{2}[^%\s\"']{0,40}){2}"
+    r"|(?:\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})[^\s\"'`\\]{0,40}){4}"
+)
+
+
+def _encoded(run: str) -> bool:
+    """Whether a run may be an encoding of something: identifiers and paths aren't."""
+    if run[0] in "%\\" or run.endswith("="):
+        return True
+    if run.isalpha() and (run.islower() or run.isupper()):
+        return False
+    if any(c in "_-" for c in run[1:-1]) and not any(c.isdigit() for c in run):
+        return False
+    lower, upper, digit = any(map(str.islower, run)), any(map(str.isupper, run)), any(map(str.isdigit, run))
+    return (lower and upper and (digit or len(run) >= 24)) or (digit and len(run) >= 16 and all(c in "0123456789abcdefABCDEF" for c in run))
+
 
+_BLOCK = re.compile(r"(?m)^[ \t]*[A-Za-z0-9+/]{40,}\r?\n(?:[ \t]*[A-Za-z0-9+/]{40,}\r?\n)*[ \t]*[A-Za-z0-9+/]+={0,2}[ \t]*\r?$")
 
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}|(?:%[0-9A-Fa-f]{2}){4}|(?:\\x[0-9a-fA-F]{2}){8}|(?:\\u00[0-9a-fA-F]{2}){8}")
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, int]]:
+    """(line, start, end) of base64 over several lines that holds a key or a credential. Bodies between
+    BEGIN and END lines belong to those."""
+    number, at = 1, 0
+    for m in _BLOCK.finditer(text):
+        number, at = number + text.count("\n", at, m.start()), m.start()
+        head = text[:at].rstrip("\r\n")[-80:] if at < 4096 else text[max(0, at - 80) : at].rstrip("\r\n")
+        if head.endswith("-----"):
+            continue
+        raw = "".join(m.group().split()).rstrip("=")
+        if len(raw) % 4 == 1:
+            continue
+        data = base64.b64decode(raw + "=" * (-len(raw) % 4))
+        if der_private_key(data) or ((inner := _readable(data)) is not None and _holds(inner)):
+            yield number, at + len(m.group()) - len(m.group().lstrip()), m.end()
 
 
 def _candidates(text: str) -> Iterator[tuple[int, int, int]]:
-    """Lines with a cue or a long encoded run."""
-    seen = {}
-    for number, lo, hi, _ in cued_lines(_automaton(), text):
-        seen[lo] = (number, lo, hi)
+    """Lines with a cue or a run that may be encoded, in order, each once."""
+    seen = {lo: (number, lo, hi) for number, lo, hi, _ in cued_lines(_automaton(), text)}
+    number, at = 1, 0
     for m in _RUN.finditer(text):
+        if not _encoded(m.group()):
+            continue
         lo = text.rfind("\n", 0, m.start()) + 1
         if lo not in seen:
+            number, at = number + text.count("\n", at, lo), lo
             hi = text.find("\n", m.end())
-            seen[lo] = (text.count("\n", 0, lo) + 1, lo, len(text) if hi < 0 else hi)
+            seen[lo] = (number, lo, len(text) if hi < 0 else hi)
     return iter(sorted(seen.values(), key=lambda x: x[1]))
 
 
@@ -300,38 +370,60 @@ def mask(secret: str, keep: int = 4) -> str:
     return s[:1] + "…" if len(s) <= 2 * keep + 4 else s[:keep] + "…" + s[-keep:]
 
 
-_PEM_BLOCK = re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)(.*?)(-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
+_PEM_MARK = r"-----{} (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_PEM_BEGIN, _PEM_END = re.compile(_PEM_MARK.format("BEGIN")), re.compile(_PEM_MARK.format("END"))
+#: What may follow a BEGIN mark in a block: headers, and base64 with whatever quotes and joins its lines.
+_PEM_BODY = re.compile(r"(?:(?:\\n|\\r|[\s\"'+,]|[A-Za-z-]+: [^\n]*(?=\n))*[A-Za-z0-9+/=]{16,}(?![A-Za-z0-9+/=]))+")
+
 
+def _pem_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what stands between BEGIN and END of private keys; without an END before the next
+    BEGIN, of the base64 that follows directly, if any."""
+    for m in _PEM_BEGIN.finditer(text):
+        after = _PEM_BEGIN.search(text, m.end())
+        end = _PEM_END.search(text, m.end(), after.start() if after else len(text))
+        if end:
+            yield m.end(), end.start()
+        elif body := _PEM_BODY.match(text, m.end()):
+            yield m.end(), body.end()
 
-def redact(text: str | None) -> str | None:
+
+def redact(text: str | None, path: str | None = None) -> str | None:
     """The text with credentials masked in place. Of a private key block every body line is masked, its
     markers, line ends and indentation stay."""
-    found = find(text)
+    found = find(text, path)
     if not found:
         return text
-    spans = [(lo, hi, mask(text[lo:hi])) for _, lo, hi, kind in found if kind != "private-key"]
-    for m in _PEM_BLOCK.finditer(text):
-        spans.append((m.start(2), m.end(2), re.sub(r"[A-Za-z0-9+/=]{8,}", lambda b: mask(b.group()), m.group(2))))
+    lines = lambda part: re.sub(r"[A-Za-z0-9+/=]{8,}", lambda b: mask(b.group()), part)
+    # of a literal over several lines each line is masked, so that line ends and indentation stay
+    spans = [(lo, hi, mask(text[lo:hi]) if "\n" not in text[lo:hi] else lines(text[lo:hi])) for _, lo, hi, kind in found if kind != "private-key"]
+    spans += [(lo, hi, lines(text[lo:hi])) for lo, hi in _pem_blocks(text)]
     return replace_spans(text, spans)
 
 
-def find_credentials(df: DataFrame, key: str = "unit_seq", text: str = "text") -> DataFrame:
+def find_credentials(df: DataFrame, key: str = "unit_seq", text: str = "text", path: str = "path") -> DataFrame:
     """(key, line, kind), one row per line and kind on which a usable-looking credential begins.
 
-    Lines count from 1 and are split at \\n only. Null and empty texts give no rows; a row listed twice
-    under one key gives its rows twice; a text of any length is scanned whole."""
+    Lines count from 1 and are split at \\n only. Null and empty texts give no rows; a null or absent
+    path tells nothing; a row listed twice under one key gives its rows twice; a text of any length is
+    scanned whole. Further columns are left out."""
     of = dict(df.dtypes)[key]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, *x) for k, t in zip(batch["__key"], batch["__text"]) for x in sorted({(n, kind) for n, _, _, kind in find(t)})]
+            rows = [(k, *x) for k, p, t in zip(batch["__key"], batch["__path"], batch["__text"]) for x in sorted({(n, kind) for n, _, _, kind in find(t, p)})]
             yield pd.DataFrame(rows, columns=["__key", "line", "kind"])
 
-    rows = spread(df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__text IS NOT NULL"))
+    place = F.col(path) if path in df.columns else F.lit(None).cast("string")
+    rows = spread(df.select(F.col(key).alias("__key"), place.alias("__path"), F.col(text).alias("__text")).where("__text IS NOT NULL"))
     return rows.mapInPandas(scan, f"__key {of}, line int, kind string").withColumnRenamed("__key", key)
 
 
-def redact_credentials(df: DataFrame, text: str = "text") -> DataFrame:
+def redact_credentials(df: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     """``df`` with credentials in ``text`` masked; all other columns, rows, nulls and texts stay as they are."""
-    udf = F.pandas_udf(lambda texts: texts.map(lambda t: redact(t) if isinstance(t, str) else None), "string")
-    return spread(df).withColumn(text, udf(F.col(text)))
+
+    def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, p) if isinstance(t, str) else None for t, p in zip(texts, paths)], dtype=object)
+
+    place = F.col(path) if path in df.columns else F.lit(None).cast("string")
+    return spread(df).withColumn(text, F.pandas_udf(run, "string")(F.col(text), place))

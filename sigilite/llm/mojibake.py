@@ -72,13 +72,27 @@ def utf8_spans(data: list[int]) -> Iterator[tuple[int, int]]:
             start = -1
 
 
-def _likely(text: str, table: dict[str, int]) -> bool:
-    """Whether a decoded span is what people write, rather than a chance hit on correct text (an
-    accented capital before a closing quote, say): Latin-1, punctuation, a character of the page itself
-    (text garbled twice), or two letters or more of another script."""
+_CLOSING = frozenset("»”’“‘«›")
+
+
+def _likely(text: str, source: str, before: str, after: str, table: dict[str, int]) -> bool:
+    """Whether a decoded span is what people write, rather than a chance hit on correct text (an accented
+    capital before a closing quote, say).
+
+    Plain are Latin-1, punctuation, and characters of the page itself (text garbled twice). Characters of
+    other ranges need a second one beside them, three bytes or more (no chance hit is that long), or a place
+    a letter could have: between letters, or by itself without a quote as its last byte."""
     if all(c <= "ÿ" or "‐" <= c <= "™" or c in table for c in text):
         return True
-    return len(text) > 1 and all(c in table or c > "ʯ" for c in text)
+    if not all(c in table or c > "ÿ" for c in text):
+        return False
+    if len(text) > 1 or len(source) >= 3:
+        return all(c in table or c > "ʯ" for c in text) or len(source) >= 3 or before.isalpha() or after.isalpha()
+    if not text.isalpha():
+        return False
+    if after.isalpha() and (not before or before.isalpha() or before.isspace()):
+        return True
+    return source[-1] not in _CLOSING and not after.isalpha() and (before.isalpha() and before.islower() or not before.isalpha())
 
 
 def decode_spans(line: str, name: str) -> tuple[str, int]:
@@ -90,19 +104,24 @@ def decode_spans(line: str, name: str) -> tuple[str, int]:
         for lo, hi in utf8_spans(data):
             # spans reach past a run only over characters that aren't bytes of the page
             text = bytes(data[lo:hi]).decode("utf-8")
-            if _likely(text, table):
-                out += [line[at : run.start() + lo], text]
-                at = run.start() + hi
+            a, b = run.start() + lo, run.start() + hi
+            if _likely(text, line[a:b], line[a - 1 : a], line[b : b + 1], table):
+                out += [line[at:a], text]
+                at = b
                 gained += hi - lo - len(text)
     return "".join(out) + line[at:], gained
 
 
+#: U+FFFD stands for what was lost beside the letters of a word, or in a row; alone between signs it is a literal.
+_LOST = re.compile("[^\\W_]�|�[^\\W_]|��")
+
+
 # A letter of a word that case or script rules out: an upper-case accented letter between lower-case
 # letters, a symbol or foreign letter inside a Latin word.
 _UPPER_INSIDE = re.compile(r"[a-zà-öø-ÿ][À-ÖØ-Þ][a-zà-öø-ÿ]|(?<![A-Za-zÀ-ÿ])[a-z]+[À-ÖØ-Þ](?![A-Za-zÀ-ÿ])")
 _SYMBOL_INSIDE = re.compile(r"[A-Za-zÀ-ÿ][„‡†‰‹›•˜¸˛˚˝ˇ·¬±¤¾½¼³²¹¶ƒ√≈∆∫≠≤≥¥∂∑∏π┬├─│┤╡╢╖╕╣║╗╝╜╛┐└┴┼╞╟╚╔╩╦╠═╬▒▓░█▄▌▐▀±⌐¢«»¿¡®™´ˆˉ˘˙¨÷×þÞðÐ]+[A-Za-zÀ-ÿ]")
-_SYMBOL_ENDS = re.compile(r"(?<![^\s'\"(=>`])[„‡†‰•˜˛˚ˇ·¾ƒ√┌└┬├´¨þ][a-zA-Z]{2,}|[a-z]{2,}[„‡†•˛˚ˇ·¾ƒ√¶þ](?![^\s'\".,;:!?)<`])")
-_FOREIGN_INSIDE = re.compile(r"[A-Za-z][Ѐ-ӿͰ-Ͽ]+[A-Za-z]|[A-Za-z]{2,}[Ѐ-ӿͰ-Ͽ](?![Ѐ-ӿͰ-Ͽ])|(?<![Ѐ-ӿͰ-Ͽ])[Ѐ-ӿͰ-Ͽ][A-Za-z]{2,}")
+_SYMBOL_ENDS = re.compile(r"(?<![^\s'\"(=>`])[„‡†‰•˜˛˚ˇ·¾ƒ√┌└┬├´¨þ][a-zA-Z]{2,}|[a-z]{2}[„‡†•˛˚ˇ·¾ƒ√¶þ](?![^\s'\".,;:!?)<`])")
+_FOREIGN_INSIDE = re.compile(r"[A-Za-z][Ѐ-ӿͰ-Ͽ]+[A-Za-z]|[A-Za-z]{2}[Ѐ-ӿͰ-Ͽ](?![Ѐ-ӿͰ-Ͽ])|(?<![Ѐ-ӿͰ-Ͽ])[Ѐ-ӿͰ-Ͽ][A-Za-z]{2,}")
 
 
 def _misshapen(line: str) -> int:
@@ -147,7 +166,7 @@ def repair_line(line: str) -> tuple[str, str | None]:
     if tried:
         # the page that leaves the plainest line
         line, kind = min(tried)[3], "utf8"
-    if "�" in line:
+    if "�" in line and _LOST.search(line):
         return line, "lost"
     if kind is None and (text := _single_byte(line)) is not None:
         return text, "page"

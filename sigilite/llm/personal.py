@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,31 +38,41 @@ GIVEN_NAMES = tuple(
 _TITLES = r"Sra?|Dra?|Mr|Mrs|Ms|Sr\.ª|Prof|Profa"
 #: Words before a person in notes, headers and messages.
 _ROLES = (
-    r"titular|falar com|contato|contacto|[Aa]uthor:|[Rr]esponsável:|[Rr]esponsavel:|Signed-off-by:|Co-authored-by:|Reviewed-by:|[Rr]eported by|[Ss]hip to|"
+    r"titular|falar com|[Cc]ontat(?:e|o|ar)|contacto|[Aa]uthor:|[Rr]esponsável:|[Rr]esponsavel:|Signed-off-by:|Co-authored-by:|Reviewed-by:|[Rr]eported by|[Ss]hip to|"
     r"Atenciosamente,|[Rr]egards,|o registro de|a registro de|nome=|name=|assinado por|autor:|Autora?:|responsavel:|responsável:"
 )
 
 _CUES = {
     **{c: "email" for c in ("@", "arroba", "(at)", "[at]", "{at}", " at ", "&#64;", "%40")},
     **{f"{d}-": "number" for d in "0123456789"},
-    **{c: "number" for c in ("(", "+", "0xx", " 9", "cpf", "cnpj", "rg ", "rg:", "rg.", "/000", "doc", "tel", "fone")},
+    **{c: "number" for c in ("(", "+", "0xx", " 9", "cpf", "cnpj", "rg ", "rg:", "rg.", "/000", "doc", "tel", "fone", "itular", "identidade")},
     **{f"{d} ": "number" for d in "0123456789"},
     **{f"{d}.": "number" for d in "0123456789"},
     **{c: "address" for c in ("rua ", "r. ", "av. ", "av ", "avenida ", "travessa ", "tv. ", "alameda ", "al. ", "praça ", "praca ", "pç. ", "rodovia ", "estrada ", "largo ", "viela ", "ladeira ", "beco ", " street", " st.", " st ", " lane", " road", " rd.", " rd", " ave", " avenue", " drive", " dr.", " boulevard", " blvd", " court", " way", " place", " square")},
-    **{c: "name" for c in ("sra.", "sr.", "dra.", "dr.", "sra ", "mr.", "mrs.", "ms.", "prof", "titular", "falar com", "author:", "autor", "responsável", "responsavel", "signed-off-by", "-by:", "reported by", "ship to", "atenciosamente", "regards", "registro de", "nome=", "name=", "contato", "assinado")},
+    **{c: "name" for c in ("sra.", "sr.", "dra.", "dr.", "sra ", "mr.", "mrs.", "ms.", "prof", "titular", "falar com", "author:", "autor", "responsável", "responsavel", "signed-off-by", "-by:", "reported by", "ship to", "atenciosamente", "regards", "registro de", "nome=", "name=", "contat", "assinado")},
 }
 
 
+def _folded(name: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
+
+
+@functools.cache
+def _spellings(names: tuple[str, ...]) -> tuple[str, ...]:
+    """Names with and without their accents, each once."""
+    return tuple(dict.fromkeys([*names, *map(_folded, names)]))
+
+
 @functools.cache
 def _automaton(names: tuple[str, ...]):
-    return build({**_CUES, **{n.lower(): "name" for n in names}})
+    return build({**_CUES, **{n.lower(): "name" for n in _spellings(names)}})
 
 
 # --- emails ---------------------------------------------------------------------------------------
 
 _AT = r"(?:@|\s*[\[({](?:at|arroba)[\])}]\s*|\s+arroba\s+|&#64;|%40)"
 _DOT = r"(?:\.|\s*[\[({](?:dot|ponto)[\])}]\s*)"
-_EMAIL = re.compile(rf"(?<![\w.+@/:-])([A-Za-z0-9](?:[\w.+'-]*[\w+])?)({_AT})([A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)*{_DOT}([A-Za-z]{{2,24}}))(?![\w@])")
+_EMAIL = re.compile(rf"(?<![\w.+@/-])([A-Za-z0-9](?:[\w.+'-]*[\w+])?)({_AT})([A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)*{_DOT}([A-Za-z]{{2,24}}))(?![\w@])")
 
 
 def emails(line: str) -> Iterator[tuple[int, int]]:
@@ -82,7 +93,7 @@ def emails(line: str) -> Iterator[tuple[int, int]]:
 # --- phones and identity numbers ------------------------------------------------------------------
 
 _PHONE = re.compile(
-    r"(?<![\w+/.,-])(?:"
+    r"(?<![\w+/.-])(?:"
     r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d[ .-]?\d{3,4}[ .-]?\d{3,4}"
     r"|\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,5}[ .-]?\d{3,5}"
     r"|\+\d{1,3}[ .-]\d{2,4}[ .-]\d?[ .-]?\d{3,5}[ .-]?\d{3,5}"
@@ -95,8 +106,8 @@ _PHONE = re.compile(
     r"|9\d{4}-\d{4}"
     r")(?![\w+/=-]|[.,]\d)"
 )
-_CPF = re.compile(r"(?<![\w.,/+-])(?:\d{3}([ .])\d{3}\1\d{3}[ .-]?\d{2}|\d{9}-\d{2}|\d{11})(?![\w/+=-]|[.,]\d)")
-_CNPJ = re.compile(r"(?<![\w.,+-])(?:\d{2}[ .]\d{3}[ .]\d{3}[/ ]\d{4}[- ]?\d{2}|\d{8}/\d{4}-?\d{2}|\d{12}-\d{2}|\d{14})(?![\w/+=-]|[.,]\d)")
+_CPF = re.compile(r"(?<![\w./+-])(?:\d{3}([ .])\d{3}\1\d{3}[ .-]?\d{2}|\d{9}-\d{2}|\d{11})(?![\w/+=-]|\.\d)")
+_CNPJ = re.compile(r"(?<![\w.+-])(?:\d{2}[ .]\d{3}[ .]\d{3}[/ ]\d{4}[- ]?\d{2}|\d{8}/\d{4}-?\d{2}|\d{12}-\d{2}|\d{14})(?![\w/+=-]|\.\d)")
 _RG = re.compile(r"(?<![A-Za-z0-9_])(?:RG|R\.G\.|[Ii]dentidade)[ :.nº°]*\d{1,2}\.?\d{3}\.?\d{3}-?[\dXx](?!\w)")
 _ID_WORD = re.compile(r"cpf|cnpj|\bdoc|documento|titular", re.I)
 
@@ -164,6 +175,7 @@ _REST = rf"(?:(?:\s+[A-Z]\.)*{_LINK}\s+{_WORD})"
 
 @functools.cache
 def _name_patterns(names: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    names = _spellings(names)
     given = "|".join(sorted(map(re.escape, names), key=len, reverse=True))
     upper = "|".join(sorted((re.escape(n.upper()) for n in names), key=len, reverse=True))
     edge, end = r"(?<![\wÀ-ÿ.@/\\-])", r"(?![\wÀ-ÿ@=(\[]|[-.][\w])"
