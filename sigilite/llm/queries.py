@@ -59,6 +59,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with leaked spans cut out."""
+    return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "text", "removed_words", "dropped")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -79,7 +88,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_repeats": p1_repeats,
     "p4_found": p4_found, "p4_own": p4_own, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_redacted": p7_redacted,
-    "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces,
+    "p8_found": p8_found, "p8_passages": p8_passages, "p8_cleaned": p8_cleaned, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
 
 _MARK = r"[-_. ]+(?:c[oó]pia|copy|old|antig[oa]|nov[oa]|new|bak|backup|orig|tmp|v\d+|\(\d+\))([-_. ]|$)"
@@ -101,5 +110,13 @@ e AS (SELECT finding_id, pos, min(pos) OVER (PARTITION BY fp) AS first FROM r)
 SELECT DISTINCT finding_id FROM (
   SELECT finding_id FROM w WHERE CASE WHEN whole THEN first ELSE first_whole END < pos UNION ALL SELECT finding_id FROM e WHERE first < pos
 ) WHERE finding_id IS NOT NULL
+""",
+    # words as the operator has them: lower case, no accents, letters and digits only; 15 in a row as one string
+    "p8_found": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM w)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """,
 }
