@@ -76,6 +76,23 @@ def profile(df: DataFrame, key: str, text: str, limit: int, folder: str = tokens
     return spread(rows).mapInPandas(scan, schema)
 
 
+#: Pieces that are summed up at a time: growing one array by all pieces of a text would copy it as often.
+BLOCK = 512
+
+
+def _blocks() -> Column:
+    return F.sequence(F.lit(0), F.floor((F.size("lens") - 1) / BLOCK).cast("int"))
+
+
+def _block(b: Column) -> Column:
+    return F.slice("lens", b * BLOCK + 1, F.lit(BLOCK))
+
+
+def _running(lens: Column, start: Column) -> Column:
+    """``start`` and the sums of it and the first 1, 2, 3, ... lengths."""
+    return F.aggregate(lens, F.array(start), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
 def split_oversized(
     df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2048, overlap: int = 128, slack: int = 16, folder: str = tokens.TOKENIZERS
 ) -> DataFrame:
@@ -89,8 +106,6 @@ def split_oversized(
     if fresh < 8:
         raise ValueError("the limit must exceed the overlap and the slack by 8 tokens at least")
     found = F.regexp_extract_all("letters", F.lit(pattern(fresh)), F.lit(0))
-    lens = F.transform(found, F.length)
-    cuts = F.aggregate(lens, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     at = lambda token: F.when(token > 0, F.get("ends", token - 1)).otherwise(0)
 
     def piece(cut: Column, i: Column) -> Column:
@@ -105,6 +120,8 @@ def split_oversized(
 
     return (
         profile(df, key, text, limit, folder)
-        .withColumn("cuts", cuts)
+        .withColumn("lens", F.transform(found, F.length))
+        .withColumn("offsets", _running(F.transform(_blocks(), lambda b: F.aggregate(_block(b), F.lit(0), lambda n, x: n + x)), F.lit(0)))
+        .withColumn("cuts", F.concat(F.array(F.lit(0)), F.flatten(F.transform(_blocks(), lambda b: F.slice(_running(_block(b), F.get("offsets", b)), 2, BLOCK)))))
         .select(F.col("__id").alias(key), F.inline(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), piece)))
     )
