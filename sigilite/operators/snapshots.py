@@ -1,102 +1,99 @@
 """What changed between consecutive full snapshots of a table.
 
-Each snapshot is ordered by (leading bits of the key's hash, key) and cut into content-defined
-chunks: a row ends a chunk when the hash of its key says so, hence an insertion or removal only
-moves the cuts next to it. A chunk has a 128-bit digest over its rows. Chunks with an equal digest
-in both snapshots are discarded, and only rows of the remaining chunks are joined by key.
+Each snapshot is ordered by (segment of the key's hash, key) and cut into content-defined chunks: a row
+ends a chunk when the hash of its key says so, hence an insertion or removal only moves the cuts next to
+it. A chunk has a 128-bit digest over its rows. Chunks with an equal digest in both snapshots are
+discarded, and only rows of the remaining chunks are compared by key.
+
+Rows travel twice: once to find each key's latest version, folded before the shuffle, and once, by then
+reduced to key and content hash, to their segment. All later steps work within the segments.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
 
 from sigilite.functions.keys import decode_key, encode_key
 
+#: Rows of a segment and snapshot, about: what one sort of keys sees.
+SEGMENT_ROWS = 50_000
 
-def _latest(df: DataFrame, snapshot: str, key: str, version: str, tracked: dict[str, Column], segments: int) -> DataFrame:
-    """One row per (snapshot, key): that with the greatest version; ties go to the greatest tracked values.
+_WORD = "18446744073709551616"  # 2^64
+_HALF = "9223372036854775808"  # 2^63
 
-    The aggregation is partial on the map side, so a key repeated in a third of the rows is
-    folded before the shuffle."""
-    names = list(tracked)
-    rows = df.where(F.col(snapshot).isNotNull()).select(
-        F.col(snapshot).alias("__no"),
-        encode_key(F.col(key)).alias("__key"),
-        F.struct(F.col(version).alias("v"), *[encode_key(c).alias(n) for n, c in tracked.items()]).alias("__row"),
-    )
-    return (
-        rows.groupBy("__no", "__key")
-        .agg(F.max("__row").alias("__row"))
-        .select(
-            "__no",
-            F.pmod(F.xxhash64("__key"), F.lit(segments)).alias("__seg"),
-            "__key",
-            *[F.col(f"__row.{n}").alias(n) for n in names],
-        )
-    )
 
+def _ticks(df: DataFrame, version: str) -> Column:
+    """The version as a number; null comes before all others."""
+    kind = df.schema[version].dataType
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        number = F.unix_micros(F.col(version).cast("timestamp"))
+    elif isinstance(kind, NumericType):
+        number = F.col(version).cast("long")
+    else:
+        raise TypeError(f"{version} must be a number or a timestamp")
+    return F.coalesce(number, F.lit(-(1 << 60)))
 
-def chunked(rows: DataFrame, names: list[str], chunk_rows: int) -> DataFrame:
-    """Adds the chunk each row belongs to (named by the cut key that precedes it) and the row's two hashes."""
-    order = Window.partitionBy("__no", "__seg").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = F.when(F.pmod(F.xxhash64(F.lit("cut"), "__key"), F.lit(chunk_rows)) == 0, F.col("__key"))
-    content = ["__key", *names]
-    return rows.withColumn("__chunk", F.coalesce(F.last(cut, ignorenulls=True).over(order), F.lit(""))).withColumns(
-        {"__h1": F.xxhash64(F.lit("a"), *content), "__h2": F.xxhash64(F.lit("b"), *reversed(content))}
-    )
 
+def _latest(df: DataFrame, snapshot: str, key: str, version: str, tracked: dict[str, Column]) -> DataFrame:
+    """(__no, __key, __h): the content hash of each key's row with the greatest version; of ties the greatest hash.
+
+    Version and hash are packed into one decimal, which a hash aggregation can hold: rows are folded on the
+    map side, so that a key repeated in a third of the rows doesn't travel."""
+    content = F.xxhash64(*[encode_key(c) for c in tracked.values()])
+    rows = df.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("__no"), encode_key(F.col(key)).alias("__key"), _ticks(df, version).alias("__v"), content.alias("__h"))
+    whole = lambda c: f"cast({c} as decimal(20,0))"
+    pack = F.expr(f"cast(({whole('__v')} + {1 << 61}BD) * {_WORD}BD + ({whole('__h')} + {_HALF}BD) as decimal(38,0))")
+    best = rows.groupBy("__no", "__key").agg(F.max(pack).alias("__p"))
+    return best.select("__no", "__key", F.expr(f"cast(__p % {_WORD}BD - {_HALF}BD as bigint)").alias("__h"))
 
-def snapshot_changes(
-    df: DataFrame,
-    snapshot: str,
-    key: str,
-    version: str,
-    tracked: dict[str, Column],
-    chunk_rows: int = 64,
-    segments: int = 4096,
-) -> DataFrame:
+
+def chunked(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """Adds the chunk each row belongs to, named by the cut key that precedes it. Rows lie in their segments."""
+    order = Window.partitionBy("__seg", "__i").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = F.when(F.pmod(F.xxhash64(F.lit("cut"), "__key"), F.lit(chunk_rows)) == 0, F.xxhash64("__key"))
+    return rows.withColumn("__chunk", F.coalesce(F.last(cut, ignorenulls=True).over(order), F.lit(0)))
+
+
+def snapshot_changes(df: DataFrame, snapshot: str, key: str, version: str, tracked: dict[str, Column], chunk_rows: int = 64) -> DataFrame:
     """Keys that were added, removed or changed from each snapshot to the next.
 
     Returns (``snapshot``, ``key``, change); ``tracked`` maps a name to the normalised value that
     counts as content. Rows belong to their snapshot however late they were loaded. A null tracked
     value is a value of its own, a null key is one key, rows without a snapshot number belong to no
-    snapshot and have no result; the first snapshot has no changes. An empty table gives no rows.
+    snapshot and have no result; a null version counts as the oldest. The first snapshot has no changes.
+    An empty table gives no rows. ``version`` is a number or a timestamp.
 
-    Equal chunks are recognised by row count and two 64-bit xors of row hashes. Rows of a chunk have
-    distinct keys, so no pair of equal rows can cancel out.
-    """
-    names = [f"__t{i}" for i in range(len(tracked))]
-    tracked = dict(zip(names, tracked.values()))
-    rows = chunked(_latest(df, snapshot, key, version, tracked, segments), names, chunk_rows)
-
-    # one row per snapshot: the sort below sees as many rows as there were deliveries
+    Contents are told apart by 64 bits, which are compared only between two rows of one key; chunks by two
+    more such hashes and the number of rows. Rows of a chunk have distinct keys, so equal rows can't cancel out."""
+    # one row per delivery
     numbers = df.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("__no")).distinct()
-    pairs = numbers.withColumn("__prev", F.lag("__no").over(Window.orderBy("__no"))).where("__prev IS NOT NULL")
-
-    place = ["__seg", "__chunk"]
-    chunks = rows.groupBy("__no", *place).agg(
-        F.bit_xor("__h1").alias("__d1"), F.bit_xor("__h2").alias("__d2"), F.count("*").alias("__n")
-    )
-    digest = [*place, "__d1", "__d2", "__n"]
-    new_chunks = chunks.join(pairs, "__no")
-    old_chunks = chunks.select(F.col("__no").alias("__prev"), *digest)
-    equal = new_chunks.join(old_chunks, ["__prev", *digest]).select("__no", "__prev", *place)
-
-    new = rows.join(pairs, "__no").join(equal.drop("__prev"), ["__no", *place], "left_anti")
-    old = (
-        rows.select(F.col("__no").alias("__prev"), *place, "__key", *names)
-        .join(pairs, "__prev")
-        .join(equal.drop("__no"), ["__prev", *place], "left_anti")
+    numbers = numbers.withColumn("__i", F.row_number().over(Window.orderBy("__no"))).withColumn("__next", F.lead("__no").over(Window.orderBy("__no")))
+    segments = max(16, df.count() // SEGMENT_ROWS)
+    rows = (
+        _latest(df, snapshot, key, version, tracked)
+        .join(F.broadcast(numbers), "__no")
+        .withColumn("__seg", F.pmod(F.xxhash64("__key"), F.lit(segments)))
+        .repartition("__seg")
     )
-    n = new.select(F.col("__no"), F.col("__key"), F.struct(*names).alias("__new"))
-    o = old.select(F.col("__no"), F.col("__key"), F.struct(*names).alias("__old"))
-    return (
-        n.join(o, ["__no", "__key"], "full_outer")
-        .withColumn(
-            "change",
-            F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old") != F.col("__new"), "changed"),
+    rows = chunked(rows, chunk_rows)
+    one = Window.partitionBy("__seg", "__chunk", "__i")
+    mixed = lambda tag: F.bit_xor(F.xxhash64(F.lit(tag), "__key", "__h")).over(one)
+    rows = rows.withColumns({"__d1": mixed("a"), "__d2": mixed("b"), "__n": F.count("*").over(one)})
+    beside = Window.partitionBy("__seg", "__chunk").orderBy("__i")
+    same = lambda step: F.coalesce(
+        (F.first("__d1").over(beside.rangeBetween(step, step)) == F.col("__d1")) & (F.first("__d2").over(beside.rangeBetween(step, step)) == F.col("__d2"))
+        & (F.first("__n").over(beside.rangeBetween(step, step)) == F.col("__n")), F.lit(False),
+    )
+    rows = rows.withColumns({"__as_new": ~same(-1) & (F.col("__i") > 1), "__as_old": ~same(1) & F.col("__next").isNotNull()})
+    # a row may be the new side of its own snapshot and the old side of the next
+    sides = F.array_compact(
+        F.array(
+            F.when(F.col("__as_new"), F.struct(F.col("__no").alias("to"), F.col("__h").alias("new"), F.lit(None).cast("long").alias("old"))),
+            F.when(F.col("__as_old"), F.struct(F.col("__next").alias("to"), F.lit(None).cast("long").alias("new"), F.col("__h").alias("old"))),
         )
-        .where("change IS NOT NULL")
-        .select(F.col("__no").alias(snapshot), decode_key(F.col("__key")).alias(key), "change")
     )
+    pairs = rows.where("__as_new OR __as_old").select("__seg", "__key", F.inline(sides)).groupBy("__seg", "__key", "to").agg(F.max("new").alias("new"), F.max("old").alias("old"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    return pairs.select(F.col("to").alias(snapshot), decode_key(F.col("__key")).alias(key), change.alias("change")).where("change IS NOT NULL")
