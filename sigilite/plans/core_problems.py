@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_totals(spark: SparkSession, d: str) -> DataFrame:
     keys = {"path": slashed(F.col("path")), "rule_id": F.col("rule_id")}
-    return key_totals(table(spark, d, "findings"), keys, F.col("occurrences"), F.col("batch_no"))
+    return key_totals(table(spark, d, "findings"), keys, F.col("occurrences"), F.col("batch_no"), F.col("finding_id"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
