@@ -43,11 +43,17 @@ SOFT_IN_TESTS = ("generic-assignment", "high-entropy-string")
 SKIP_REASONS = ("directory", "size", "noise", "binary", "long_line")
 
 
+#: What one test for all rules of vendors' tokens looks for before any of them is tried.
+LONG_RUN = r"[A-Za-z0-9_.-]{15}"
+#: Parts of all sensitive names.
+_NAME_PARTS = "passw|pwd|secret|token|key"
+
+
 @dataclass(frozen=True)
 class Rule:
     """``before``, ``secret`` and ``after`` are parts of one pattern (Java syntax); ``literals`` are strings
-    one of which any matching line holds, letter case included, ``folded`` the same in upper case for
-    patterns blind to case. ``validator`` maps the secret to a boolean Column."""
+    one of which any matching line holds, letter case included; ``folded`` is a pattern for the same, blind to
+    case; ``long_run`` says that any match holds a run of LONG_RUN letters, digits and ``_.-``. ``validator`` maps the secret to a boolean Column."""
 
     id: str
     severity: str
@@ -55,7 +61,8 @@ class Rule:
     before: str = ""
     after: str = ""
     literals: tuple[str, ...] = ()
-    folded: tuple[str, ...] = ()
+    folded: str = ""
+    long_run: bool = False
     category: str = "secret"
     cwe: str | None = "CWE-798"
     owasp: str | None = _OWASP["A02"]
@@ -85,21 +92,21 @@ class Rule:
 
 
 def _vendor(id: str, secret: str, literals: tuple[str, ...], severity: str = "high", after: str = r"\b", owasp: str = "A02", **other) -> Rule:
-    return Rule(id, severity, secret, r"\b", after, literals, owasp=_OWASP[owasp], **other)
+    return Rule(id, severity, secret, r"\b", after, literals, owasp=_OWASP[owasp], **{"long_run": True, **other})
 
 
 # Ids, severities, classes and patterns of all rules.
 RULES = (
     Rule("private-key", "critical", "-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY-----", literals=("PRIVATE KEY-----",), cwe="CWE-321", owasp=_OWASP["A04"]),
     _vendor("aws-access-key-id", "(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[A-Z0-9]{16}", ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA")),
-    Rule("aws-secret-access-key", "high", "[0-9a-zA-Z/+]{40}", r"(?i:aws.{0,24}?(?:secret|sk)[^\n]{0,24}?)['\x22]", r"['\x22]", ("'", '"'), ("AWS",), min_entropy=4.2),
+    Rule("aws-secret-access-key", "high", "[0-9a-zA-Z/+]{40}", r"(?i:aws.{0,24}?(?:secret|sk)[^\n]{0,24}?)['\x22]", r"['\x22]", ("'", '"'), "aws", min_entropy=4.2),
     _vendor("github-token", "(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,255}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), owasp="A07"),
     _vendor("github-pat-fine-grained", "github_pat_[0-9A-Za-z_]{22,255}", ("github_pat_",), owasp="A07"),
     _vendor("gitlab-pat", "glpat-[0-9A-Za-z_-]{20,50}", ("glpat-",), owasp="A07"),
     _vendor("npm-token", "npm_[0-9A-Za-z]{36}", ("npm_",), owasp="A03"),
     _vendor("google-api-key", r"AIza[0-9A-Za-z_\-]{35}", ("AIza",)),
     _vendor("slack-token", "xox[baprs]-[0-9A-Za-z-]{10,48}", ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("slack-webhook", "medium", r"https://hooks\.slack\.com/services/T[A-Za-z0-9_]+/B[A-Za-z0-9_]+/[A-Za-z0-9_]{16,}", literals=("hooks.slack.com",), cwe="CWE-200", owasp=_OWASP["A01"]),
+    Rule("slack-webhook", "medium", r"https://hooks\.slack\.com/services/T[A-Za-z0-9_]+/B[A-Za-z0-9_]+/[A-Za-z0-9_]{16,}", literals=("hooks.slack.com",), long_run=True, cwe="CWE-200", owasp=_OWASP["A01"]),
     _vendor("sendgrid-api-key", r"SG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}", ("SG.",), after="(?![0-9A-Za-z_-])"),
     _vendor("twilio-api-key", "SK[0-9a-f]{32}", ("SK",)),
     _vendor("digitalocean-token", "(?:dop|doo|dor)_v1_[0-9a-f]{64}", ("dop_v1_", "doo_v1_", "dor_v1_")),
@@ -115,21 +122,22 @@ RULES = (
         r"(?:postgres|postgresql|mysql|mongodb(?:\+srv)?|redis|rediss|amqp|amqps)(?:\+[a-z0-9]+)?://[^:@\s/]*:[^@\s/]+@[^\s'\x22]+",
         ("://",),
         after="",
+        long_run=False,
     ),
     _vendor(
         "basic-auth-url", r"https?://[^:@\s/]*:[^@\s/]{3,}@[^\s'\x22]+", ("http://", "https://"), severity="medium", after="", owasp="A07", cwe="CWE-522",
-        validator=verdicts.login_url_leaks,
+        long_run=False, validator=verdicts.login_url_leaks,
     ),
     Rule(
         "generic-assignment", "medium", r"[^\x22'\n]{8,}",
         rf"(?:(?<![A-Za-z0-9])(?i:{SENSITIVE})|(?<=[a-z0-9])(?=[A-Z])(?i:{SENSITIVE_CAMEL}))(?![A-Za-z0-9])[\x22' ]?\s*[:=]\s*[\x22']", r"[\x22']",
-        ("'", '"'), ("PASSW", "PWD", "SECRET", "TOKEN", "KEY"), validator=verdicts.looks_like_secret_value,
+        ("'", '"'), _NAME_PARTS, validator=verdicts.looks_like_secret_value,
     ),
     Rule("secret-in-path", "medium", "[A-Za-z0-9+_=-]{24,}", "/", r"(?=[/\x22'\s?#]|\z)", ("/",), category="entropy"),
     Rule(
         "dotenv-assignment", "high", r"[^\s\x22'\n(){}\[\]$;,<>]{8,80}",
         rf"^[ \t]*(?:export[ \t]+)?[A-Za-z0-9_]*(?<![A-Za-z0-9])(?i:{SENSITIVE})(?![A-Za-z0-9])[A-Za-z0-9_]*[ \t]*=[ \t]*", r"[ \t]*\z",
-        ("=",), ("PASSW", "PWD", "SECRET", "TOKEN", "KEY"), only_files=DOTENV_NAMES, not_files=DOTENV_TEMPLATES,
+        ("=",), _NAME_PARTS, only_files=DOTENV_NAMES, not_files=DOTENV_TEMPLATES,
     ),
     Rule("high-entropy-string", "medium", "[A-Za-z0-9+/_-]{24,}={0,2}", "(?<![A-Za-z0-9+/_-])", "(?![A-Za-z0-9+/_-])", category="entropy", keywords=SECRET_CONTEXT),
     Rule(

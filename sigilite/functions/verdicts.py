@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,8 +45,13 @@ def any_of(parts: tuple[str, ...]) -> str:
     return "|".join(map(re.escape, parts))
 
 
+def holds_any(s: Column, parts: tuple[str, ...]) -> Column:
+    """Plain searches, which are several times faster than one pattern of as many branches."""
+    return reduce(lambda a, b: a | b, [s.contains(p) for p in parts])
+
+
 def password_looks_real(pw: Column) -> Column:
-    plain = pw.isin(*URL_PASSWORDS) | pw.rlike(r"\Ax*\z") | pw.rlike(any_of(URL_PASSWORD_PARTS))
+    plain = pw.isin(*URL_PASSWORDS) | pw.rlike(r"\Ax*\z") | holds_any(pw, URL_PASSWORD_PARTS)
     return ~plain & (T.is_high_entropy(pw, min_length=12) | (T.char_classes(pw) >= 3) | (T.consonant_run(pw) >= 6))
 
 
@@ -54,7 +60,7 @@ def is_example_url(s: Column) -> Column:
     user, pw, host = (F.lower(F.regexp_extract(s, URL_PARTS, g)) for g in (1, 2, 3))
     template = user.rlike(r"\{|%25") | pw.rlike(r"\{|%25")
     plain_user = user.isin(*URL_USERS) | user.rlike(r"\Ax*\z")
-    plain_pw = pw.isin(*URL_PASSWORDS) | pw.rlike(r"\Ax*\z") | pw.rlike(any_of(URL_PASSWORD_PARTS))
+    plain_pw = pw.isin(*URL_PASSWORDS) | pw.rlike(r"\Ax*\z") | holds_any(pw, URL_PASSWORD_PARTS)
     verdict = F.when(template, True).when(host.rlike(EXAMPLE_HOST), ~password_looks_real(pw)).otherwise(plain_user & plain_pw)
     return F.when(s.rlike(URL_PARTS), verdict).otherwise(False)
 
@@ -65,12 +71,12 @@ def is_obvious_fake(s: Column) -> Column:
 
 
 def looks_like_placeholder(s: Column) -> Column:
-    return F.lower(s).rlike(any_of(PLACEHOLDER_PARTS)) | is_obvious_fake(s)
+    return holds_any(F.lower(s), PLACEHOLDER_PARTS) | is_obvious_fake(s)
 
 
 def looks_like_secret_value(s: Column) -> Column:
     """The value given to a sensitive name: random, or mixed like a password, and not marked as a test."""
-    marked = looks_like_placeholder(s) | F.lower(s).rlike(any_of(TEST_PARTS))
+    marked = looks_like_placeholder(s) | holds_any(F.lower(s), TEST_PARTS)
     return (
         F.when(T.has_space(s) | T.is_url_encoded(s), False)
         .when(T.is_high_entropy(s) | s.rlike(r"\A[0-9a-fA-F]{32,}\z"), True)

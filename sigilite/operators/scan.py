@@ -7,12 +7,14 @@ redacted, as arrays on the line's own row. The secret itself never leaves this m
 
 from __future__ import annotations
 
+import functools
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigilite.catalog import SEVERITIES, SOFT_IN_TESTS, Config, Rule
+from sigilite.catalog import LONG_RUN, RULES, SEVERITIES, SOFT_IN_TESTS, Config, Rule
 from sigilite.functions import text as T
 from sigilite.functions import verdicts
 from sigilite.operators import lines as L
@@ -20,18 +22,13 @@ from sigilite.operators import lines as L
 _HITS = "array<struct<ord:int,start:int,size:int,secret:string>>"
 
 
-def _folded(raw: Column) -> Column:
-    """Upper case, with the two letters that only fold one way brought to S and K."""
-    return F.upper(F.lower(raw))
-
-
 def _gate(raw: Column, rule: Rule, unit_ok: Column) -> Column:
     """Whether a rule matches a line: strings any match must hold, before its pattern runs."""
     out = unit_ok if rule.only_files else F.lit(True)
     if rule.literals:
         out = out & reduce(lambda a, b: a | b, [raw.contains(x) for x in rule.literals])
     if rule.folded:
-        out = out & reduce(lambda a, b: a | b, [_folded(raw).contains(x) for x in rule.folded])
+        out = out & raw.rlike(f"(?Ui)(?:{rule.folded})")
     out = out & raw.rlike(rule.pattern)
     return out & L.has_word(raw, rule.keywords) if rule.keywords else out
 
@@ -81,6 +78,21 @@ def _keeps(raw: Column, rules: list[Rule], digest: Column, h: Column) -> Column:
     return out
 
 
+def _any_gate(raw: Column, rules: list[Rule], gates: list[Column]) -> Column:
+    """Whether any rule matches; those of vendors' tokens are tried only where their common test passes."""
+    either = lambda of: reduce(lambda a, b: a | b, of)
+    runs = [g for r, g in zip(rules, gates) if r.long_run]
+    rest = [g for r, g in zip(rules, gates) if not r.long_run]
+    return either([*([raw.rlike(LONG_RUN) & either(runs)] if runs else []), *rest])
+
+
+def _stage(rows: DataFrame, *columns) -> DataFrame:
+    """A projection that the optimizer leaves as it is: without it, what a stage computes would be copied into
+    the filters and projections behind it and evaluated again, for all lines. The partition id isn't a
+    deterministic expression, so nothing is moved across it."""
+    return rows.select(*columns, F.spark_partition_id().alias("__b")).where("__b >= 0").drop("__b")
+
+
 def rule_order(rules: tuple[Rule, ...]) -> list[Rule]:
     """The order in which overlapping matches win: severity, then anything before entropy, the broadest entropy rule last, then the id."""
     return sorted(rules, key=lambda r: (-r.rank, r.category == "entropy", r.id == "high-entropy-string", r.id))
@@ -104,37 +116,65 @@ def redact_spans(raw: Column, hits: Column, keep: int = 4) -> Column:
     return T.strip(F.aggregate(spans, F.regexp_replace(raw, r"\A[\n\r]+|[\n\r]+\z", ""), put))
 
 
-def scan_lines(units: DataFrame, config: Config = Config()) -> DataFrame:
-    """Lines with a match: unit columns (unit_seq, path, commit), line, raw, hits and placeholders (matches dropped as such).
-
-    ``units`` needs unit_seq, path and text; commit is optional. Further columns are left out."""
+@functools.lru_cache(maxsize=64)
+def _columns(application: str, config: Config) -> dict[str, Column]:
+    """The columns of a scan, which depend on the configuration only. Building them takes seconds, for they have
+    thousands of nodes, so it is done once per application and configuration."""
     rules = rule_order(config.active())
-    commit = F.col("commit") if "commit" in units.columns else F.lit(None).cast("string")
-    units = units.select(
-        "unit_seq", "path", commit.alias("commit"), "text",
-        (L.is_dotenv(F.col("path"), F.col("text")) if any(r.only_files for r in rules) else F.lit(False)).alias("dotenv"),
-    ).where("text IS NOT NULL")
-    rows = L.explode_lines(units, in_pem="in_pem")
-    raw, dotenv = F.col("raw"), F.col("dotenv")
-    rows = rows.where(F.length(raw) <= config.max_line_length)
+    raw, digest = F.col("raw"), F.col("__digest")
+    dotenv = next((r.only_files for r in rules if r.id == "dotenv-assignment"), None)
     # a rule with files of its own but other than the environment files tests the name
-    ok = {r.id: dotenv if r.only_files == config_dotenv(rules) else L.name_matches(F.col("path"), r.only_files, r.not_files) for r in rules if r.only_files}
-    if not rules:
-        return rows.where(F.lit(False)).select("unit_seq", "path", "commit", "line", "raw", F.array().cast(_HITS).alias("hits"), F.lit(0).alias("placeholders"))
+    ok = {r.id: F.col("dotenv") if r.only_files == dotenv else L.name_matches(F.col("path"), r.only_files, r.not_files) for r in rules if r.only_files}
     gates = [_gate(raw, r, ok.get(r.id, F.lit(True))) for r in rules]
-    # lines that are to be left alone are looked for among the few that pass
-    rows = rows.where(reduce(lambda a, b: a | b, gates)).where(~L.is_allowed(raw, config)).withColumn("__quiet", F.col("in_pem") | L.is_payload(raw))
     seen = [F.when(g & ~F.col("__quiet") if r.category == "entropy" else g, F.struct(F.lit(i).alias("ord"), F.lit(r.pattern).alias("pattern"))) for i, (r, g) in enumerate(zip(rules, gates))]
-    rows = rows.withColumn("__seen", F.array_compact(F.array(*seen))).where(F.size("__seen") > 0)
-    found = F.flatten(F.transform("__seen", lambda r: _places(raw, r["pattern"], r["ord"])))
-    rows = rows.select("unit_seq", "path", "commit", "line", "raw", L.has_hash_context(raw).alias("__digest"), found.alias("__found"))
-    rows = rows.withColumn("__real", F.filter("__found", lambda h: ~verdicts.looks_like_placeholder(h["secret"])))
-    kept = F.filter("__real", lambda h: _keeps(raw, rules, F.col("__digest"), h))
-    return rows.select("unit_seq", "path", "commit", "line", "raw", kept.alias("hits"), (F.size("__found") - F.size("__real")).alias("placeholders"))
+    pick = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("h.ord") + 1)
+    rank = pick([r.rank for r in rules], "int")
+    soft = F.lit(config.demote_tests) & L.is_test_path(F.col("path")) & pick([r.id in SOFT_IN_TESTS for r in rules], "boolean")
+    secret = F.col("h.secret")
+    return {
+        "dotenv": L.is_dotenv(F.col("path"), F.col("text")) if dotenv else F.lit(False),
+        "short": F.length(raw) <= config.max_line_length,
+        "any": _any_gate(raw, rules, gates),
+        "allowed": L.is_allowed(raw, config),
+        "quiet": F.col("in_pem") | L.is_payload(raw),
+        "digest": L.has_hash_context(raw),
+        "seen": F.array_compact(F.array(*seen)),
+        "found": F.flatten(F.transform("__seen", lambda r: _places(raw, r["pattern"], r["ord"]))),
+        "real": F.filter("__found", lambda h: ~verdicts.looks_like_placeholder(h["secret"])),
+        "hits": F.filter("__real", lambda h: _keeps(raw, rules, digest, h)),
+        "apart": F.when(F.size("hits") > 1, drop_overlaps(F.col("hits"))).otherwise(F.col("hits")),
+        "preview": redact_spans(raw, F.col("hits")),
+        "rank": F.when(soft, F.greatest(rank - 1, F.lit(0))).otherwise(rank),
+        "severity": F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("severity_rank") + 1),
+        "redacted": T.redact(secret),
+        "redacted_public": T.redact(secret, 2),
+        "entropy": F.bround(T.shannon_entropy(secret), 2),
+        **{n: pick([getattr(r, "id" if n == "rule_id" else n) for r in rules], "string") for n in ("rule_id", "title", "category", "cwe", "owasp", "recommendation")},
+        "fingerprint": T.fingerprint(F.col("rule_id"), F.col("path"), F.col("redacted")),
+    }
+
+
+_LINE = ("unit_seq", "path", "commit", "line", "raw")
+
 
+def scan_lines(units: DataFrame, config: Config = Config()) -> DataFrame:
+    """Lines with a match: unit columns (unit_seq, path, commit), line, raw, hits and placeholders (matches dropped as such).
 
-def config_dotenv(rules: list[Rule]) -> tuple[str, ...] | None:
-    return next((r.only_files for r in rules if r.id == "dotenv-assignment"), None)
+    ``units`` needs unit_seq, path and text; commit is optional. Further columns are left out."""
+    commit = F.col("commit") if "commit" in units.columns else F.lit(None).cast("string")
+    units = units.where("text IS NOT NULL")
+    if not config.active():
+        rows = L.explode_lines(units.select("unit_seq", "path", commit.alias("commit"), "text"), in_pem=None)
+        return rows.where(F.lit(False)).select(*_LINE, F.array().cast(_HITS).alias("hits"), F.lit(0).alias("placeholders"))
+    c = _columns(units.sparkSession.sparkContext.applicationId, config)
+    rows = L.explode_lines(units.select("unit_seq", "path", commit.alias("commit"), "text", c["dotenv"].alias("dotenv")), in_pem="in_pem")
+    # lines that are to be left alone are looked for among the few that pass
+    rows = rows.where(c["short"]).where(c["any"]).where(~c["allowed"])
+    rows = _stage(rows, *_LINE, "dotenv", c["quiet"].alias("__quiet"), c["digest"].alias("__digest"))
+    rows = _stage(rows, *_LINE, "__digest", c["seen"].alias("__seen")).where(F.size("__seen") > 0)
+    rows = _stage(rows, *_LINE, "__digest", c["found"].alias("__found"))
+    rows = _stage(rows, *_LINE, "__digest", F.size("__found").alias("__n"), c["real"].alias("__real"))
+    return _stage(rows, *_LINE, c["hits"].alias("hits"), (F.col("__n") - F.size("__real")).alias("placeholders"))
 
 
 def scan(units: DataFrame, config: Config = Config(), keep_secret: bool = False) -> DataFrame:
@@ -142,28 +182,22 @@ def scan(units: DataFrame, config: Config = Config(), keep_secret: bool = False)
 
     Null texts and units without lines give none; a null path counts as an empty one in the fingerprint.
     Rows listed twice are scanned twice. ``hit_no`` is the place of a finding among those of its line."""
-    rules = rule_order(config.active())
     rows = scan_lines(units, config).where(F.size("hits") > 0)
-    rows = rows.withColumn("hits", drop_overlaps(F.col("hits"))).withColumn("line_preview", redact_spans(F.col("raw"), F.col("hits")))
-    rows = rows.select("unit_seq", "path", "commit", "line", "line_preview", F.posexplode("hits").alias("hit_no", "h"))
-    pick = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values] or [F.lit(None).cast(kind)]), F.col("h.ord") + 1)
-    rank = pick([r.rank for r in rules], "int")
-    soft = F.lit(config.demote_tests) & L.is_test_path(F.col("path")) & pick([r.id in SOFT_IN_TESTS for r in rules], "boolean")
-    rows = rows.withColumn("severity_rank", F.when(soft, F.greatest(rank - 1, F.lit(0))).otherwise(rank))
-    secret = F.col("h.secret")
+    if not config.active():
+        # no rules: no rows, but the same columns
+        return scan(units.where(F.lit(False)), replace(config, rules=RULES, only=frozenset(), skip=frozenset(), skip_categories=frozenset(), use_entropy=True), keep_secret)
+    c = _columns(units.sparkSession.sparkContext.applicationId, config)
+    keys = _LINE[:4]
+    rows = _stage(rows, *_LINE, c["apart"].alias("hits"))
+    rows = _stage(rows, *keys, "hits", c["preview"].alias("line_preview"))
+    rows = rows.select(*keys, "line_preview", F.posexplode("hits").alias("hit_no", "h")).withColumn("severity_rank", c["rank"])
+    named = lambda *names: [c[n].alias(n) for n in names]
     out = rows.select(
-        "unit_seq", "hit_no",
-        pick([r.id for r in rules], "string").alias("rule_id"),
-        pick([r.title for r in rules], "string").alias("title"),
-        F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("severity_rank") + 1).alias("severity"),
-        "severity_rank", "path", "line", (F.col("h.start") + 1).alias("column_no"), "commit",
-        F.lit(1).alias("occurrences"), F.lit(None).cast("string").alias("commit_last"),
-        T.redact(secret).alias("redacted"), T.redact(secret, 2).alias("redacted_public"), F.bround(T.shannon_entropy(secret), 2).alias("entropy"),
-        pick([r.category for r in rules], "string").alias("category"), pick([r.cwe for r in rules], "string").alias("cwe"),
-        pick([r.owasp for r in rules], "string").alias("owasp"), pick([r.recommendation for r in rules], "string").alias("recommendation"),
-        "line_preview", *([secret.alias("secret")] if keep_secret else []),
+        "unit_seq", "hit_no", *named("rule_id", "title", "severity"), "severity_rank", "path", "line", (F.col("h.start") + 1).alias("column_no"), "commit",
+        F.lit(1).alias("occurrences"), F.lit(None).cast("string").alias("commit_last"), *named("redacted", "redacted_public", "entropy", "category", "cwe", "owasp", "recommendation"),
+        "line_preview", *([F.col("h.secret").alias("secret")] if keep_secret else []),
     )
-    return out.withColumn("fingerprint", T.fingerprint(F.col("rule_id"), F.col("path"), F.col("redacted")))
+    return out.withColumn("fingerprint", c["fingerprint"])
 
 
 def ordered(findings: DataFrame) -> DataFrame:
