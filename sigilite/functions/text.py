@@ -130,3 +130,19 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(
         F.when(n > 0, F.greatest(zero, mid - half)).otherwise(zero).alias("low"), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(zero).alias("high")
     )
+
+
+def below(path: Column, *folders: str) -> Column:
+    """The path from the first of the named folders on; whole where it lies in none. Backslashes are read as slashes."""
+    p = slashed(path)
+    inner = F.regexp_extract(p, rf"(?:\A|/)((?:{'|'.join(folders)})/.*)\z", 1)
+    return F.when(inner != "", inner).otherwise(p)
+
+
+def filled(template: Column, seed: Column) -> Column:
+    """A template with every {N} replaced by N letters and digits, the same for the same seed, up to 128 each."""
+    pool = F.translate(F.concat(*[F.base64(F.unhex(F.md5(F.concat(F.lit(f"{i}:"), seed.cast("string"))))) for i in range(6)]), "+/=", "pq")
+    sizes = F.regexp_extract_all(template, F.lit(r"\{(\d+)\}"), F.lit(1))
+    return F.aggregate(
+        sizes, template, lambda text, n: F.regexp_replace(text, F.concat(F.lit(r"\{"), n, F.lit(r"\}")), F.substring(pool, F.lit(1), n.cast("int")))
+    )

@@ -145,6 +145,22 @@ register(
     "SELECT finding_id, concat(path, ':', line, CASE WHEN commit_sha IS NULL THEN '' ELSE '@' || commit_sha END) AS place, CASE WHEN cwe IS NOT NULL THEN concat('https://cwe.mitre.org/data/definitions/', regexp_extract(cwe, '(\\d+)', 1), '.html') END AS help_uri FROM findings".replace("\\\\", "\\"),
 )
 
+register(
+    "label_paths", lambda s, d: findings(s, d).select("finding_id", T.below(F.col("path"), "config", "src", "tests").alias("inner")),
+    rf"""SELECT finding_id, CASE WHEN regexp_matches(p, '(^|/)(config|src|tests)/') THEN regexp_extract(p, '(?:^|/)((?:config|src|tests)/.*)$', 1) ELSE p END AS inner
+    FROM (SELECT finding_id, replace(path, '\\', '/') AS p FROM findings)""".replace("\\\\", "\\"),
+)
+_POOL = "translate(concat(" + ", ".join(f"base64(unhex(md5(concat('{i}:', o_orderkey))))" for i in range(6)) + "), '+/=', 'pq')"
+register(
+    "filled_template", lambda s, d: table(s, d, "orders").select("o_orderkey", T.filled(F.lit("id={16} key={40}"), F.col("o_orderkey")).alias("text")),
+    f"SELECT o_orderkey, concat('id=', {_POOL}[1:16], ' key=', {_POOL}[1:40]) AS text FROM orders",
+)
+register(
+    "units_scanned", lambda s, d: R.summary(units(s, d), scan(units(s, d))).select("total", "units_scanned", "long_lines", "placeholders_discarded"),
+    f"""WITH {S.findings()} SELECT (SELECT count(*) FROM findings_) AS total, (SELECT count(*) FROM units WHERE text IS NOT NULL) AS units_scanned,
+      (SELECT count(*) FROM lines WHERE length(raw) > 4000) AS long_lines, (SELECT count(*) FROM found WHERE fake) AS placeholders_discarded""",
+)
+
 # --- sinks -------------------------------------------------------------------------------------------
 
 _FIELDS = ["rule_id AS id", "title", "severity", "severity_rank", "path", "line", "column_no AS \"column\"", "commit", "occurrences", "commit_last", "redacted", "entropy", "category", "cwe", "owasp", "recommendation", "fingerprint"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -72,12 +73,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Steps of a plan behind which rows lie as a shuffle left them.
+_SHUFFLED = re.compile(r"^[\s:|+-]*(?:Aggregate|Join|Window|Sort|Repartition\w*|Deduplicate|GlobalLimit|Intersect|Except)\b", re.M)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Gives every core a share of a small input that came in fewer splits than there are cores.
 
-    An input of at least as many splits as cores (any large table) is returned unshuffled."""
+    An input of at least as many splits as cores (any large table), or one that comes out of a shuffle, is
+    returned as it is; the latter isn't even counted, for that would run its stages."""
     ship(df.sparkSession)
+    if _SHUFFLED.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
