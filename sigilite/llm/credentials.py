@@ -67,6 +67,7 @@ _ASSIGN = re.compile(
     r"[\"'\]]{0,2}(?:\s*:\s*(?:str|string|String))?\s*(?::=|=>|[:=])\s*(?:\(\s*)?(?P<value>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`|[^\s\"'`,;)}\]<>]+)",
     re.I,
 )
+_HAS_SENSITIVE = re.compile(_SENSITIVE, re.I)
 _XML = re.compile(rf"<(?P<tag>[\w.-]*(?:{_SENSITIVE})[\w.-]*)>([^<]+)</|(?:key|name)=\"[\w.-]*(?:{_SENSITIVE})(?:[_.-]?\w+)?\"\s+value=\"([^\"]+)\"", re.I)
 _TABLE = re.compile(r"\|\s*([^\s|]{8,})\s*\|[^|]*(?:senha|password|token|secret|credencial|chave)|(?:senha|password|token|secret|chave|credencial)[^|\n]*\|\s*([^\s|]{8,})\s*\|", re.I)
 _CSV = re.compile(rf"(?:^|[;,\t])\"?[\w.-]*(?:{_SENSITIVE})(?:[_-]?\w+)?\"?[;,\t]\"?([^;,\t\"]+)", re.I)
@@ -236,7 +237,12 @@ def find_in_line(line: str, depth: int = 0) -> list[tuple[int, int, str]]:
         pw = m.group(2)
         if not (_PLACEHOLDER.match(pw) or _REFERENCE.search(pw)) and len(pw) >= 4 and not (pw.isdigit() and (len(pw) < 6 or pw in "01234567890123456789")):
             out.append((m.start(2), m.end(2), "url"))
-    for kind, pattern in (("connection", _CONNECTION), ("query", _QUERY), ("header", _HEADER), ("flag", _FLAG), ("flag", _CURL), ("markup", _XML), ("table", _TABLE), ("prose", _PROSE)):
+    # names in markup, assignments and columns hold a sensitive word, which one search tells
+    named = bool(_HAS_SENSITIVE.search(line))
+    patterns = [("connection", _CONNECTION), ("query", _QUERY), ("header", _HEADER), ("flag", _FLAG), ("flag", _CURL), ("markup", _XML), ("table", _TABLE), ("prose", _PROSE)]
+    for kind, pattern in patterns:
+        if pattern is _XML and not named:
+            continue
         for m in pattern.finditer(line):
             for g in range(1, (m.lastindex or 0) + 1):
                 value = m.group(g)
@@ -245,7 +251,7 @@ def find_in_line(line: str, depth: int = 0) -> list[tuple[int, int, str]]:
                     if kind == "markup" and not _sensitive_name(re.sub(r"[^\w-]*(?:value)?[^\w-]*$", "", name)):
                         continue
                     out.append((m.start(g), m.end(g), kind))
-    for m in _ASSIGN.finditer(line):
+    for m in _ASSIGN.finditer(line) if named and ("=" in line or ":" in line) else ():
         value, lo = m.group("value"), m.start("value")
         if value[0] in "\"'`":
             value, lo = value[1:-1], lo + 1
@@ -255,7 +261,7 @@ def find_in_line(line: str, depth: int = 0) -> list[tuple[int, int, str]]:
             continue
         if usable_or_decoded(value, depth, m.group("name")):
             out.append((lo, lo + len(value), "assignment"))
-    if depth == 0:
+    if depth == 0 and named:
         for m in _CSV.finditer(line):
             if line.count(";") + line.count("\t") + line.count(",") >= 3 and _sensitive_name(m.group()[: m.start(1) - m.start()].strip("\";,\t")) and usable_or_decoded(m.group(1), depth):
                 out.append((m.start(1), m.end(1), "table"))
