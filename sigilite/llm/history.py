@@ -184,16 +184,26 @@ def search(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pos": np.concatenate(pos_out) if pos_out else np.array([], dtype=np.int64), "coverage": np.array(cover_out, dtype=float)})
 
 
-def search_lines(lines: DataFrame) -> DataFrame:
-    """(pos, coverage), one row per record with a match: the largest share of one of its lines found in accepted text."""
-    ship(lines.sparkSession)
+#: Lines a task holds at a time, about.
+TASK_LINES = 1_000_000
+
+
+def search_lines(lines: DataFrame, records: int) -> DataFrame:
+    """(pos, coverage), one row per record with a match: the largest share of one of its lines found in accepted text.
+
+    ``records`` is a bound on the records behind the lines, four lines each at most: partitions are as many as
+    keep the arrays of one within a worker's memory."""
+    spark = lines.sparkSession
+    ship(spark)
+    parts = 4 * records // TASK_LINES + 1
+    few = parts <= int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a partition is what the shuffle made it: lines that may match share one, and equal lines came aggregated
         parts = list(batches)
         yield search(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["h", "line", "head", "shown", "batch", "pos"]))
 
-    found = lines.repartition("h").select("line", "head", "shown", "batch", "pos").mapInPandas(run, "pos long, coverage double")
+    found = (lines.repartition("h") if few else lines.repartition(parts, "h")).select("line", "head", "shown", "batch", "pos").mapInPandas(run, "pos long, coverage double")
     return found.groupBy("pos").agg(F.max("coverage").alias("coverage"))
 
 
@@ -221,7 +231,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     values never repeat nearly, null fingerprints never exactly; a null path is an empty one. Copies of a
     record repeat its first row whole (coverage 1). Empty tables give no rows."""
     first = _first(rows)
-    found = search_lines(record_lines(first))
+    found = search_lines(record_lines(first), rows.count())
     return _judged(rows, first.where(F.col("pos") >= 0), found)
 
 
@@ -255,7 +265,7 @@ class History:
         new = record_lines(first)
         old = self._lines()
         lines = new if old is None else new.unionByName(old.join(new.select("h").distinct(), "h", "left_semi").withColumns({"batch": F.lit(BEFORE), "pos": F.lit(BEFORE).cast("long")}))
-        found = search_lines(lines)
+        found = search_lines(lines, batch.count() + (0 if old is None else old.count()))
         return _judged(batch, first, found)
 
     def accept(self, batch: DataFrame) -> None:
