@@ -185,3 +185,21 @@ register(
     f"""WITH {S.findings()} SELECT fingerprint, rule_id AS rule, path, line, redacted_public AS redacted, severity FROM findings_
     QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY severity_rank, path DESC NULLS FIRST, line DESC, unit_seq DESC, hit_no DESC) = 1""",
 )
+
+
+# --- all stages --------------------------------------------------------------------------------------
+
+
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Units to a numbered report of what is new: scan, collapse of equal findings, baseline, order."""
+    found = R.collapse(scan(units(spark, d)).withColumn("arrival", F.struct("unit_seq", "hit_no")), "arrival")
+    accepted = findings(spark, d).where("batch_no = 1").select("fingerprint").unionByName(baseline(spark, d).select("fingerprint"))
+    return R.numbered(R.new_findings(found, accepted), "arrival").select("position", "fingerprint", "rule_id", "severity", "path", "line", "occurrences")
+
+
+register(
+    "pipeline", pipeline,
+    f"""WITH {S.findings()}, o AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY severity_rank DESC, path NULLS FIRST, line, unit_seq, hit_no) AS up, count(*) OVER (PARTITION BY fingerprint) AS n FROM findings_),
+    f AS (SELECT * FROM o WHERE up = 1 AND fingerprint NOT IN (SELECT lower(fingerprint) FROM findings WHERE batch_no = 1 AND fingerprint IS NOT NULL UNION ALL SELECT lower(fingerprint) FROM baseline WHERE fingerprint IS NOT NULL))
+    SELECT row_number() OVER (ORDER BY severity_rank DESC, path NULLS FIRST, line, unit_seq, hit_no) AS position, fingerprint, rule_id, severity, path, line, CAST(n AS INTEGER) AS occurrences FROM f""",
+)
