@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigilite.llm import credentials, foreign, history, leakage, mixing, mojibake, personal, splitting
+from sigilite.llm import credentials, foreign, history, leakage, mixing, mojibake, personal, pipeline, splitting
 from sigilite.session import table
 
 
@@ -85,7 +85,16 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"))
 
 
+def pipeline_blobs(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.prepare_blobs(table(spark, d, "blobs")).select("unit_seq", "path", "text", "garbled_lines")
+
+
+def pipeline_documents(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.prepare_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 QUERIES = {
+    "pipeline_blobs": pipeline_blobs, "pipeline_documents": pipeline_documents,
     "p1_found": p1_found, "p1_repeats": p1_repeats,
     "p4_found": p4_found, "p4_own": p4_own, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_redacted": p7_redacted,
     "p8_found": p8_found, "p8_passages": p8_passages, "p8_cleaned": p8_cleaned, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces,
